@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import re
 import shutil
 import tempfile
 import uuid
-import atexit
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -76,50 +78,78 @@ def binary_array(values: list[bytes]) -> pa.Array:
 
 #: White space as the tokenizers' regular expressions see it. Fixed values.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_PIECE = re.compile(f"[ \n]?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
+#: Letters that are single characters in every normal form. A run of them before white space, or before one mark
+#: and white space, is a piece without the mark.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PIECE = re.compile(f" ?[{_LETTERS}]+(?=[.,;:!?]?(?:[{_WS}]|\\Z))| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
+_PLAIN = re.compile(f" ?[{_LETTERS}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class Pieces:
+_BYTE_LETTERS = _byte_letters()
+
+
+class Pieces(dict):
     """A tokenizer whose results for pieces between white space are kept and joined.
 
-    Both tokenizers split a text before a run of non-spaces and its one leading space or newline, whatever
-    stands around it, so the ids of a text are the ids of its pieces in order. At most `limit` pieces are kept.
+    Both tokenizers split a text before a run of non-spaces and its one leading space, and between a letter and
+    a mark, whatever stands around, so the ids of a text are the ids of its pieces in order. Two generations of
+    about `limit` pieces each are kept. A piece of letters goes to the tokenizer's model at once, without the
+    splitting that would leave it whole; probes at the start see that this gives the same ids.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
-        import os
-
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit = limit
-        self.known: dict[str, bytes] = {}
+        self.model, self.limit = self.tokenizer.model, limit
+        self.old: dict[str, bytes] = {}
+        self.ready = False
+        self.folded = self.tokenizer.normalizer is not None
+        probes = [" the", "Then", " Öffnung", "élève", " Straße", " international", "antidisestablishment", "Ÿ", " ÿ"]
+        self.ready = all(self._of_model(p) == self._of_text(p) for p in probes)
 
     def vocabulary(self) -> int:
         return max(self.tokenizer.get_vocab().values()) + 1
 
+    def _of_text(self, piece: str) -> bytes:
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _of_model(self, piece: str) -> bytes:
+        word = piece.strip(" ").lower() if self.folded else piece
+        if word.isascii():
+            letters = word.replace(" ", "\u0120")
+        else:
+            letters = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            plain = self.ready and (piece[1:].isalpha() and piece.isascii() and (piece[0] == " " or piece.isalpha()) or _PLAIN.fullmatch(piece))
+            ids = self._of_model(piece) if plain else self._of_text(piece)
+        if len(piece) < 200:
+            self[piece] = ids
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers."""
-        split = [_PIECE.findall(t) for t in texts]
-        known, missing = self.known, set()
-        for pieces in split:
-            missing.update(pieces)
-        missing.difference_update(known)
-        extra: dict[str, bytes] = {}
-        if missing:
-            todo, into = list(missing), known
-            if len(known) + len(todo) > self.limit:
-                known.clear()
-                todo = list({p for pieces in split for p in pieces})
-                into = known if len(todo) <= self.limit else extra
-            for at in range(0, len(todo), 4096):
-                part = todo[at : at + 4096]
-                for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    into[piece] = np.array(e.ids, "<u4").tobytes()
-        get = (extra or known).__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        """Per text its ids as unsigned 32-bit integers (little-endian, as all machines that Spark runs on)."""
+        out, get, split = [], self.__getitem__, _PIECE.findall
+        for text in texts:
+            if len(self) > self.limit:
+                self.old = dict(self)
+                self.clear()
+            out.append(b"".join(map(get, split(text))))
+        return out
 
 
 _PIECES: dict[str, Pieces] = {}
