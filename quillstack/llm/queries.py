@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstack.session import table
 
-from . import chat, packing, token_files, warc
+from . import chat, decontaminate, near_dups, packing, substrings, token_files, warc
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,12 +28,25 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(rows.unionByName(extra))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_packing, op3_chat, op10_warc)}
+    return {f.__name__: f for f in (op1_token_files, op2_packing, op3_chat, op7_substrings, op8_near_dups, op9_decontamination, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
