@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstack.session import table
 
-from . import chat, decontaminate, near_dups, packing, substrings, token_files, warc
+from . import chat, decontaminate, line_chunks, near_dups, neighbours, packing, quality, substrings, token_files, warc
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,22 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(rows.unionByName(extra))
 
 
+def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_chunks.remove_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.graded(docs.select("doc_id", "text"), model).drop("text")
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -46,7 +62,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_packing, op3_chat, op7_substrings, op8_near_dups, op9_decontamination, op10_warc)}
+    return {f.__name__: f for f in (op1_token_files, op2_packing, op3_chat, op4_line_chunks, op5_quality, op6_neighbours, op7_substrings, op8_near_dups, op9_decontamination, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
