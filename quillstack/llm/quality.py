@@ -6,8 +6,8 @@ grade and the tail probability P(grade = 2); a document is kept where the tail p
 
 Fitting uses at most SAMPLE labelled documents, those with the least hash of doc_id; scoring reads every text whole.
 A distinct token of a document counts once, as its word without marks and as that word's first 4, 5 and 6
-characters, each hashed to 32 bits. Only the KEPT hashes that at least MIN_DOCS fitted documents hold and that tell
-the highest grade from the others best have weights, and soft thresholding holds those at 0 unless they matter, so
+characters, each hashed to 32 bits. Only hashes that at least MIN_DOCS fitted documents hold and that tell the
+highest grade from the others by ERRORS standard errors have weights, the KEPT best ones at most, and soft thresholding holds those at 0 unless they matter, so
 long texts are not drowned in noise.
 
 Defined results: a null text is the empty text; labels that are null, out of 0 and 1, or of unknown documents are
@@ -32,7 +32,10 @@ from .common import arrow_rows, binary_array
 SAMPLE = 12_000
 KEPT = 8192
 MIN_DOCS = 4
-STEPS, RATE, SPARSITY = 220, 0.05, 2e-4
+#: Least distance, in standard errors, of a hash's share of the highest grade from the share overall.
+ERRORS = 4.0
+#: SPARSITY is divided by the root of the number of fitted documents: fewer documents, more shrinking.
+STEPS, RATE, SPARSITY = 220, 0.05, 0.022
 GRADES = 3
 LEAST = 0.7
 RESULT = ["expected_grade", "tail_probability", "keep"]
@@ -106,7 +109,7 @@ def fit(grades: np.ndarray, tokens: list[np.ndarray], dense: np.ndarray, steps:
     gain = np.abs(held - often * base) / np.sqrt(often * base * (1 - base) + 1e-9)
     gain[often < MIN_DOCS] = -1
     best = np.sort(np.argsort(-gain, kind="stable")[:KEPT])
-    best = best[gain[best] >= 0]
+    best = best[gain[best] >= ERRORS]
     new = np.full(len(used), -1)
     new[best] = np.arange(len(best))
     index = new[index]
@@ -139,7 +142,7 @@ def fit(grades: np.ndarray, tokens: list[np.ndarray], dense: np.ndarray, steps:
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         rate = RATE / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
         p -= rate * first / (1 - 0.9**t)
-        p[:a] = np.sign(p[:a]) * np.maximum(np.abs(p[:a]) - np.minimum(rate[:a] * SPARSITY, 0.02), 0)
+        p[:a] = np.sign(p[:a]) * np.maximum(np.abs(p[:a]) - np.minimum(rate[:a] * SPARSITY / np.sqrt(n), 0.02), 0)
     weights = {int(h): float(w) for h, w in zip(used, p[:a]) if w}
     return Model(weights, p[a:b], mean, scale, p[b] + np.concatenate([[0], np.cumsum(np.exp(p[b + 1 :]))]))
 
