@@ -7,8 +7,9 @@ together, and after step j no later offer can beat a filled place, so the walk s
 after two or three steps for usual texts. Places agree with probability equal to the Jaccard similarity.
 
 ROWS places make a band key. Documents with equal sets are one class; classes that share a band key are
-candidates: first each with the least class of its band (a star), verified on the full sets; then, for bands whose
-members are still in several components, every pair across components. Nothing is capped. A pair at similarity
+candidates: in STARS rounds each is verified on the full sets with the class of its band that meets most others and
+was not the centre before, where both are not yet in one component; then, for bands whose members are still in
+several components, every pair across components. Nothing is capped. A pair at similarity
 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
 
 Defined results: words are lower-cased in A-Z only; null and wordless texts have an empty set, no links and
@@ -31,6 +32,8 @@ from .components import components
 
 SHINGLE = 5
 SIZE, BANDS, ROWS = 128, 32, 4
+#: Rounds in which each band tests its members against one more of them.
+STARS = 3
 
 _SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
 GROUPED = "doc_id long, n_shingles long, component_id long, kept boolean"
@@ -116,19 +119,32 @@ def near_duplicates(docs: DataFrame, numerator: int = 75) -> DataFrame:
     linkable = signed.where("digest is not null and doc_id is not null")
     classes = stored(linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
     members = classes.select("rep", F.explode("bands").alias("band"))
-    shared = stored(members.groupBy("band").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a"), "bands")
-    inside = stored(members.join(shared, "band").select("band", "a", F.col("rep").alias("b")), "members")
-    star = inside.where("a != b").select("a", "b").distinct()
-    links = stored(verified(star, texts, numerator), "links")
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    inside = stored(members.join(sizes, "band"), "bands")
+    # A document that meets many others stands near the middle of its group: it is tested first.
+    score = inside.groupBy("rep").agg(F.sum("n").alias("score"))
+    pool = inside.join(score, "rep").select("band", F.col("rep").alias("b"), "score", F.col("rep").alias("p"), F.lit(None).cast("struct<score: long, neg: long>").alias("below"))
+    links = spark.createDataFrame([], "a long, b long")
+    place = F.struct("score", (-F.col("b")).alias("neg"))
+    for _ in range(STARS):
+        fresh = F.when(F.col("below").isNull() | (place < F.col("below")), F.struct("score", (-F.col("b")).alias("neg"), "p"))
+        middle = pool.groupBy("band").agg(F.max(fresh).alias("c"), F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo != hi and c is not null").select("band", "c")
+        pool = stored(pool.drop("below").join(middle, "band").select("band", "b", "score", "p", "c"), "pool")
+        if pool.isEmpty():
+            break
+        centre = -F.col("c.neg")
+        pairs = pool.where("p != c.p").select(F.least("b", centre).alias("a"), F.greatest("b", centre).alias("b")).distinct()
+        links = stored(links.union(verified(pairs, texts, numerator)), "links")
+        labels = components(links).select(F.col("id").alias("b"), "component_id")
+        pool = pool.join(labels, "b", "left").select("band", "b", "score", F.coalesce("component_id", "b").alias("p"), F.struct("c.score", "c.neg").alias("below"))
+    else:
+        # Bands whose members are still in several components: every pair across them.
+        mixed = pool.groupBy("band").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo != hi").select("band")
+        left = stored(pool.join(mixed, "band").select("band", "b", "p"), "mixed")
+        x, y = left.select("band", F.col("b").alias("x"), F.col("p").alias("px")), left.select("band", F.col("b").alias("y"), F.col("p").alias("py"))
+        across = x.join(y, "band").where("x < y and px != py").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        links = stored(links.union(verified(across, texts, numerator)), "links")
     labels = components(links)
-    # Bands whose members are in several components: all pairs across them that the stars didn't test.
-    named = inside.join(labels.withColumnRenamed("id", "b"), "b", "left").withColumn("c", F.coalesce("component_id", "b")).select("band", "a", "b", "c")
-    mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("band")
-    left = stored(named.join(mixed, "band"), "mixed")
-    x, y = left.where("a != b").select("band", F.col("b").alias("x"), F.col("c").alias("cx")), left.where("a != b").select("band", F.col("b").alias("y"), F.col("c").alias("cy"))
-    across = x.join(y, "band").where("x < y and cx != cy").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    more = stored(verified(across, texts, numerator), "links")
-    labels = components(links.union(more))
     known = classes.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component"))
     # Rows that share a doc_id are one node, whatever their texts.
     out = signed.select("doc_id", "n_shingles", "digest").join(known, "digest", "left")
