@@ -9,8 +9,8 @@ after two or three steps for usual texts. Places agree with probability equal to
 ROWS places make a band key. Documents with equal sets are one class; classes that share a band key are
 candidates: in STARS rounds each is verified on the full sets with the class of its band that meets most others and
 was not the centre before, where both are not yet in one component; then, for bands whose members are still in
-several components, every pair across components. Nothing is capped. A pair at similarity
-0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
+several components, every pair across components whose sizes allow the similarity. Nothing is capped. A pair at similarity
+0.75 shares no band with probability (1 - 0.75^5)^51 = 1e-6.
 
 Defined results: words are lower-cased in A-Z only; null and wordless texts have an empty set, no links and
 their own component; rows with equal doc_id are one node; a row with null doc_id has no links and a null
@@ -31,7 +31,7 @@ from .common import BASE_A, BASE_B, arrow_rows, mix, rolling, stored, word_hashe
 from .components import components
 
 SHINGLE = 5
-SIZE, BANDS, ROWS = 128, 32, 4
+SIZE, BANDS, ROWS = 256, 51, 5
 #: Rounds in which each band tests its members against one more of them.
 STARS = 3
 
@@ -71,7 +71,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
-    parts = signature.reshape(len(signature), BANDS, ROWS)
+    parts = signature[:, : BANDS * ROWS].reshape(len(signature), BANDS, ROWS)
     key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), parts.shape[:2]).copy()
     for k in range(ROWS):
         key = mix(key * np.uint64(BASE_A) + parts[:, :, k])
@@ -117,7 +117,7 @@ def near_duplicates(docs: DataFrame, numerator: int = 75) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = stored(texts.mapInArrow(_sign, _SIGNED), "signatures")
     linkable = signed.where("digest is not null and doc_id is not null")
-    classes = stored(linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
+    classes = stored(linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.first("n_shingles").alias("size")), "classes")
     members = classes.select("rep", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     inside = stored(members.join(sizes, "band"), "bands")
@@ -141,8 +141,8 @@ def near_duplicates(docs: DataFrame, numerator: int = 75) -> DataFrame:
         # Bands whose members are still in several components: every pair across them.
         mixed = pool.groupBy("band").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo != hi").select("band")
         left = stored(pool.join(mixed, "band").select("band", "b", "p"), "mixed")
-        x, y = left.select("band", F.col("b").alias("x"), F.col("p").alias("px")), left.select("band", F.col("b").alias("y"), F.col("p").alias("py"))
-        across = x.join(y, "band").where("x < y and px != py").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        x, y = left.select("band", F.col("b").alias("x"), F.col("p").alias("px"), F.col("size").alias("nx")), left.select("band", F.col("b").alias("y"), F.col("p").alias("py"), F.col("size").alias("ny"))
+        across = x.join(y, "band").where(f"x < y and px != py and 100 * least(nx, ny) >= {numerator} * greatest(nx, ny)").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         links = stored(links.union(verified(across, texts, numerator)), "links")
     labels = components(links)
     known = classes.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component"))
