@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import documents, texts  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(texts.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(texts.SQL)
