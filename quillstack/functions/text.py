@@ -70,7 +70,7 @@ def parse_multiline(c: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """A year or integer as it stands, an ISO date in its full form, else null."""
-    return F.when(c.rlike("^-?[1-9][0-9]+$"), c).when(c.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(c, F.lit("y-M-d")).cast("string"))
+    return F.when(c.rlike("^-?[1-9][0-9]+$"), c).when(c.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(c, "y-M-d").cast("string"))
 
 
 def emu(c: Column, unit: str) -> Column:
