@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, numerator: int = 75) -> DataFrame:
     else:
         # Bands whose members are still in several components: every pair across them.
         mixed = pool.groupBy("band").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo != hi").select("band")
-        left = stored(pool.join(mixed, "band").select("band", "b", "p"), "mixed")
+        left = stored(pool.join(mixed, "band").select("band", "b", "p").join(classes.select(F.col("rep").alias("b"), "size"), "b"), "mixed")
         x, y = left.select("band", F.col("b").alias("x"), F.col("p").alias("px"), F.col("size").alias("nx")), left.select("band", F.col("b").alias("y"), F.col("p").alias("py"), F.col("size").alias("ny"))
         across = x.join(y, "band").where(f"x < y and px != py and 100 * least(nx, ny) >= {numerator} * greatest(nx, ny)").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         links = stored(links.union(verified(across, texts, numerator)), "links")

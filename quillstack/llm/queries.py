@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstack.session import table
 
-from . import chat, decontaminate, line_chunks, near_dups, neighbours, packing, quality, substrings, token_files, warc
+from . import chat, decontaminate, line_chunks, near_dups, neighbours, oracles, packing, quality, substrings, token_files, warc
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +66,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_chat": oracles.CHAT,
+        "op7_substrings": oracles.SUBSTRINGS,
+        "op8_near_dups": oracles.NEAR,
+        "op9_decontamination": oracles.CONTAMINATION,
+        "op10_warc": oracles.WARC,
+    }
