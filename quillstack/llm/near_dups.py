@@ -9,7 +9,7 @@ after two or three steps for usual texts. Places agree with probability equal to
 ROWS places make a band key. Documents with equal sets are one class; classes that share a band key are
 candidates: in STARS rounds each is verified on the full sets with the class of its band that meets most others and
 was not the centre before, where both are not yet in one component; then, for bands whose members are still in
-several components, every pair across components whose sizes allow the similarity. Nothing is capped. A pair at similarity
+several components, the pairs across components that an exact bound on their overlap leaves. Nothing is capped. A pair at similarity
 0.75 shares no band with probability (1 - 0.75^5)^51 = 1e-6.
 
 Defined results: words are lower-cased in A-Z only; null and wordless texts have an empty set, no links and
@@ -34,6 +34,8 @@ SHINGLE = 5
 SIZE, BANDS, ROWS = 256, 51, 5
 #: Rounds in which each band tests its members against one more of them.
 STARS = 3
+#: A shingle of at most so many classes is rare.
+RARE = 8
 
 _SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
 GROUPED = "doc_id long, n_shingles long, component_id long, kept boolean"
@@ -110,6 +112,46 @@ def verified(pairs: DataFrame, texts: DataFrame, numerator: int = 75, denominato
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, numerator, denominator), "a long, b long")
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for part in (b.slice(at, 50) for at in range(0, b.num_rows, 50)):
+            sets = [shingle_set(t) for t in part.column("text").to_pylist()]
+            tokens = np.concatenate([np.empty(0, np.uint64), *sets]).astype(np.int64)
+            ids = np.repeat(np.array(part.column("b").to_pylist(), np.int64), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.int64())], names=["b", "token"])
+
+
+def _across(pool: DataFrame, classes: DataFrame, texts: DataFrame, numerator: int) -> DataFrame:
+    """Candidates (a, b) across components among the classes of pool(band, b, p), p being b's component.
+
+    In a band of at most RARE classes every pair is one. In a larger band, a shingle is rare if at most RARE of the
+    classes still in question have it. Two classes that share a rare shingle are joined on it. Two that share none
+    have no more in common than either has shingles that aren't rare; where that is too little for a link, they are
+    no candidates. So no link is lost, and a passage common to thousands makes no pairs of documents that differ.
+    """
+    kept = pool.groupBy("band").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi")
+    known = classes.select(F.col("rep").alias("b"), F.col("size").alias("m"), "bands")
+    left = stored(pool.join(kept.select("band", (F.col("n") > RARE).alias("crowded")), "band").select("band", "crowded", "b", "p"), "mixed")
+    at_stake = stored(left.where("crowded").groupBy("b").agg(F.first("p").alias("p")).join(known.drop("bands"), "b"), "at-stake")
+    whole = at_stake.select("b").join(texts.select(F.col("doc_id").alias("b"), "text"), "b").dropDuplicates(["b"])
+    tokens = stored(whole.mapInArrow(_tokens, "b long, token long"), "tokens")
+    rare = stored(tokens.join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where(f"held <= {RARE}"), "token"), "rare")
+    reach = rare.groupBy("b").agg(F.count(F.lit(1)).alias("rare"))
+
+    def pairs(of: DataFrame, on: str, condition: str) -> DataFrame:
+        x, y = (of.select([F.col(c).alias(c if c == on else c + side) for c in of.columns]) for side in "xy")
+        fits = f"bx < by and px != py and 100 * least(mx, my) >= {numerator} * greatest(mx, my)"
+        return x.join(y, on).where(f"{fits} and {condition}").select(F.col("bx").alias("a"), F.col("by").alias("b"))
+
+    # Each pair comes from the first band that it shares.
+    first = "element_at(bandsx, cast(array_position(zip_with(bandsx, bandsy, (v, w) -> v = w), true) as int)) = band"
+    few = pairs(left.where("not crowded").select("band", "b", "p").join(known.drop("bands"), "b"), "band", "true")
+    sharing = pairs(rare.where("held > 1").select("token", "b").join(at_stake, "b"), "token", "true")
+    could = left.where("crowded").select("band", "b", "p").join(known, "b").join(reach, "b", "left").withColumn("r", F.col("m") - F.coalesce("rare", F.lit(0))).drop("rare").where(f"100 * r >= {numerator} * m")
+    many = pairs(could, "band", f"{100 + numerator} * least(rx, ry) >= {numerator} * (mx + my) and {first}")
+    return few.union(sharing).union(many).distinct()
+
+
 def near_duplicates(docs: DataFrame, numerator: int = 75) -> DataFrame:
     """Per document its set's size, its component's least doc_id, and whether it is that document."""
     spark = docs.sparkSession
@@ -138,12 +180,7 @@ def near_duplicates(docs: DataFrame, numerator: int = 75) -> DataFrame:
         labels = components(links).select(F.col("id").alias("b"), "component_id")
         pool = pool.join(labels, "b", "left").select("band", "b", "score", F.coalesce("component_id", "b").alias("p"), F.struct("c.score", "c.neg").alias("below"))
     else:
-        # Bands whose members are still in several components: every pair across them.
-        mixed = pool.groupBy("band").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo != hi").select("band")
-        left = stored(pool.join(mixed, "band").select("band", "b", "p").join(classes.select(F.col("rep").alias("b"), "size"), "b"), "mixed")
-        x, y = left.select("band", F.col("b").alias("x"), F.col("p").alias("px"), F.col("size").alias("nx")), left.select("band", F.col("b").alias("y"), F.col("p").alias("py"), F.col("size").alias("ny"))
-        across = x.join(y, "band").where(f"x < y and px != py and 100 * least(nx, ny) >= {numerator} * greatest(nx, ny)").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        links = stored(links.union(verified(across, texts, numerator)), "links")
+        links = stored(links.union(verified(_across(pool, classes, texts, numerator), texts, numerator)), "links")
     labels = components(links)
     known = classes.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component"))
     # Rows that share a doc_id are one node, whatever their texts.
