@@ -92,6 +92,35 @@ class Model:
         return above.sum(axis=1), above[:, -1]
 
 
+def _telling(tokens: list[np.ndarray], top: np.ndarray) -> np.ndarray:
+    """The hashes that get weights, in order. Sorts 32-bit copies in place: the driver holds each token a few times only."""
+    each = np.concatenate([np.empty(0, np.uint32), *tokens])
+    each.sort()
+    starts = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]])) if len(each) else np.empty(0, np.int64)
+    often = np.diff(np.append(starts, len(each)))
+    starts, often = starts[often >= MIN_DOCS], often[often >= MIN_DOCS]
+    used = each[starts]
+    of_top = np.concatenate([np.empty(0, np.uint32), *(t for t, is_top in zip(tokens, top) if is_top)])
+    of_top.sort()
+    held = np.searchsorted(of_top, used, "right") - np.searchsorted(of_top, used, "left")
+    # How far the share of the highest grade among a hash's documents is from its share overall.
+    base = top.mean()
+    gain = np.abs(held - often * base) / np.sqrt(often * base * (1 - base) + 1e-9)
+    best = np.sort(np.argsort(-gain, kind="stable")[:KEPT])
+    return used[best[gain[best] >= ERRORS]]
+
+
+def _located(tokens: list[np.ndarray], used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document and place in `used` of every token that is there."""
+    rows, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for n, t in enumerate(tokens if len(used) else []):
+        at = np.searchsorted(used, t)
+        at = at[used[np.minimum(at, len(used) - 1)] == t]
+        rows.append(np.full(len(at), n))
+        places.append(at)
+    return np.concatenate(rows), np.concatenate(places)
+
+
 def fit(grades: np.ndarray, tokens: list[np.ndarray], dense: np.ndarray, steps: int = STEPS) -> Model | None:
     """Proximal Adam on the mean log-loss; None without two different grades."""
     if len(np.unique(grades)) < 2:
@@ -99,21 +128,9 @@ def fit(grades: np.ndarray, tokens: list[np.ndarray], dense: np.ndarray, steps:
     n = len(grades)
     mean, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-6
     x = np.clip((dense - mean) / scale, -6, 6)
-    counts = np.array([len(t) for t in tokens])
-    used, index, often = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), counts)
     top = grades == GRADES - 1
-    held = np.bincount(index, top[row], len(used))
-    # How far the share of the highest grade among a hash's documents is from its share overall.
-    base = top.mean()
-    gain = np.abs(held - often * base) / np.sqrt(often * base * (1 - base) + 1e-9)
-    gain[often < MIN_DOCS] = -1
-    best = np.sort(np.argsort(-gain, kind="stable")[:KEPT])
-    best = best[gain[best] >= ERRORS]
-    new = np.full(len(used), -1)
-    new[best] = np.arange(len(best))
-    index = new[index]
-    row, index, used = row[index >= 0], index[index >= 0], used[best]
+    used = _telling(tokens, top)
+    row, index = _located(tokens, used)
     # Parameters: token weights, measure weights, first threshold, logs of the gaps between thresholds.
     size = len(used) + x.shape[1] + GRADES - 1
     p, first, second = np.zeros(size), np.zeros(size), np.zeros(size)
