@@ -125,6 +125,31 @@ def test_near_dups(spark, edge):
     assert got == brute_groups(rows)
 
 
+def near_family(n=40):
+    """Copies of one text with one to five words changed: some are linked to each other, some only nearly."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(100), 1 + i % 5):
+            words[at] = f"x{i}y{at}" if i % 3 else f"z{at}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("rare", [1, 4])
+def test_near_dups_across(spark, monkeypatch, rare):
+    """Without star rounds every link comes from the bounded pairs across components."""
+    monkeypatch.setattr(near_dups, "STARS", 0)
+    monkeypatch.setattr(near_dups, "RARE", rare)
+    rows = near_family()
+    want = brute_groups(rows)
+    assert 1 < len({w[2] for w in want}) < len(rows)
+    got = sorted((tuple(r) for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == want
+
+
 def test_near_dups_query(spark):
     got = sorted((tuple(r) for r in queries.op8_near_dups(spark, SF).collect()), key=str)
     assert got == brute_groups(sf_docs(spark))
