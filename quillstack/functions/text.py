@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: LaTeX's special characters and what stands for them. Fixed values.
-LATEX = {"\\": "\\textbackslash{}", "{": "\\{", "}": "\\}", "$": "\\$", "&": "\\&", "#": "\\#", "%": "\\%", "_": "\\_", "^": "\\^{}", "~": "\\~{}"}
+LATEX = {
+    "#": "\\#", "$": "\\$", "%": "\\%", "&": "\\&", "<": "{\\textless}", ">": "{\\textgreater}", "\\": "{\\textbackslash}", "^": "\\^{}",
+    "_": "\\_", "`": "\\`{}", "{": "\\{", "|": "{\\textbar}", "}": "\\}", "~": "{\\textasciitilde}", "[": "{[}", "]": "{]}", "\u00a0": "~",
+}
 
 
 def space_normalize(c: Column) -> Column:
@@ -28,12 +31,15 @@ def odt_escape(c: Column) -> Column:
     return _replaced(html_escape(c), (" ", "<text:s/>"), ("\t", "<text:tab/>"))
 
 
+#: Characters that stand for those which occur in what stands for others. Noncharacters: no text holds them.
+_MARKS = {k: chr(0xFDD0 + n) for n, k in enumerate("\\{}[]~^`#$%&_")}
+
+
 def latex_quote(c: Column) -> Column:
-    """One pass over the characters: backslash and braces go by way of control characters."""
-    marks = {"\\": "\x01", "{": "\x02", "}": "\x03"}
-    c = _replaced(c, *marks.items())
-    c = _replaced(c, *((k, v) for k, v in LATEX.items() if k not in marks))
-    return _replaced(c, *((m, LATEX[k]) for k, m in marks.items()))
+    """One pass over the characters: those that occur in replacements go by way of noncharacters."""
+    c = _replaced(c, *_MARKS.items())
+    c = _replaced(c, *((k, v) for k, v in LATEX.items() if k not in _MARKS))
+    return _replaced(c, *((m, LATEX[k]) for k, m in _MARKS.items()))
 
 
 def anchor_slug(c: Column) -> Column:

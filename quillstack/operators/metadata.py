@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions.kernels import edit_distance
+from quillstack.functions.lang import code
+from quillstack.functions.markup import chosen, default_label
+from quillstack.functions.names import person
+from quillstack.functions.text import parse_date, parse_multiline
 
 
 def with_defaults(supplied: DataFrame, schema: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,3 +44,98 @@ def exit_bits(problems: DataFrame, doc: str, kind: str) -> DataFrame:
     """The bits of each document's problems, or-ed. 130 metadata, 132 body, 136 missing include."""
     bits = F.when(F.col(kind) == "meta", 130).when(F.col(kind) == "body", 132).otherwise(136)
     return problems.groupBy(doc).agg(F.bit_or(bits.cast("long")).alias("exit_code"))
+
+
+#: What a field of each type is where nothing is supplied or declared. Fixed values.
+TYPE_DEFAULTS = {"text": "", "rich-text": "", "bibliography": "", "boolean": "no", "date": "today", "image": "", "multiline": "", "lang": "en"}
+
+
+def canonical_schema(schema: DataFrame) -> DataFrame:
+    """schema(name, type, required, label, default) with what was left out: text, not required, the name with a capital, the type's default."""
+    kind = F.coalesce("type", F.lit("text"))
+    return schema.select(
+        "name",
+        kind.alias("type"),
+        F.coalesce("required", F.lit(False)).alias("required"),
+        F.coalesce("label", default_label(F.col("name"))).alias("label"),
+        F.coalesce("default", chosen(kind, TYPE_DEFAULTS)).alias("default"),
+    )
+
+
+def _parsed(kind, value):
+    """The value in its type's canonical form, or null where it has none."""
+    return (
+        F.when(kind == "boolean", F.when(F.lower(value).isin("yes", "no"), F.lower(value)))
+        .when(kind == "date", F.when(F.lower(value) == "today", "today").otherwise(parse_date(value)))
+        .when(kind == "lang", code(value))
+        .when(kind == "multiline", F.array_join(parse_multiline(value), "; "))
+        .otherwise(value)
+    )
+
+
+def validated(supplied: DataFrame, schema: DataFrame, doc: str) -> DataFrame:
+    """Per document its supplied fields and those of the schema that nothing supplied: (doc, name, supplied, canonical, error).
+
+    supplied(doc, name, value) may have fields that the schema has not: those are errors, with the nearest name where one
+    is near. A value that is not of its field's type is an error and the default stands in. A required field but
+    title that is missing is an error. `schema` is a canonical schema: fixed in size, so it may be broadcast.
+    """
+    fields = F.broadcast(schema)
+    documents = supplied.select(doc).distinct()
+    wanted = documents.crossJoin(fields.where("name is not null"))  # documents times a schema's fixed number of fields
+    unknown = supplied.join(fields, "name", "left_anti").select("name").distinct()
+    near = suggestions(unknown.withColumnRenamed("name", "word"), schema.select(F.col("name").alias("known")), "word", "known")
+    known = wanted.join(supplied, [doc, "name"], "left")
+    parsed = _parsed(F.col("type"), F.col("value"))
+    bad = F.col("value").isNotNull() & parsed.isNull()
+    lacking = F.col("value").isNull() & F.col("required") & (F.col("name") != "title")
+    error = F.when(bad, F.concat(F.lit("Not a valid "), F.col("type"), F.lit(" format"))).when(lacking, F.concat(F.lit("Missing required field '"), F.col("name"), F.lit("'")))
+    checked = known.select(doc, "name", F.col("value").alias("supplied"), F.coalesce(parsed, "default").alias("canonical"), error.alias("error"))
+    hint = F.when(F.col("suggestion").isNotNull(), F.concat(F.lit(" (did you mean '"), F.col("suggestion"), F.lit("'?)"))).otherwise("")
+    strange = supplied.join(near.select(F.col("word").alias("name"), "suggestion"), "name")
+    lost = F.when(F.col("name").isin("title", "subtitle"), F.concat(F.lit("This style has no "), F.col("name"))).otherwise(F.concat(F.lit("Unexpected field '"), F.col("name"), F.lit("'"), hint))
+    return checked.unionByName(strange.select(doc, "name", F.col("value").alias("supplied"), F.lit(None).cast("string").alias("canonical"), lost.alias("error")))
+
+
+def meta_digest(fields: DataFrame, doc: str) -> DataFrame:
+    """A digest of each document's field names and values, whatever their order."""
+    pairs = F.array_sort(F.collect_list(F.concat_ws("=", "name", "canonical")))
+    return fields.groupBy(doc).agg(F.sha2(F.array_join(pairs, "\n"), 256).alias("digest"))
+
+
+#: Dublin Core element of each field, in output order, and the roles of contributors. Fixed values.
+DUBLIN_CORE = {
+    "title": "title", "subtitle": "title", "author": "creator", "editor": "creator", "translator": "contributor", "compilation-editor": "creator",
+    "abstract": "description", "date": "date", "keywords": "subject", "publisher": "publisher", "isbn": "identifier", "uuid": "identifier",
+    "copyright": "rights", "license": "rights", "lang": "language",
+}
+ROLES = {"author": "aut", "editor": "edt", "compilation-editor": "edc", "translator": "trl"}
+
+
+def dublin_core(fields: DataFrame, doc: str) -> DataFrame:
+    """(doc, ord, element, n, role, value, file_as) of fields(doc, name, value): people split and numbered within their element."""
+    order = chosen(F.col("name"), {k: f"{n:02d}" for n, k in enumerate(DUBLIN_CORE)})
+    rows = fields.withColumn("element", chosen(F.col("name"), DUBLIN_CORE)).where("element is not null and value != ''")
+    people = F.when(F.col("name").isin(list(ROLES)), F.split("value", r"\s*;\s*")).otherwise(F.array("value"))
+    each = rows.select(doc, "name", "element", order.alias("_order"), F.posexplode(people).alias("_at", "_raw"))
+    role = chosen(F.col("name"), ROLES)
+    parsed = each.withColumn("_person", person(F.col("_raw"))).withColumn("role", role)
+    w = Window.partitionBy(doc).orderBy("_order", "_at")
+    n = F.when(F.col("role").isNotNull(), F.row_number().over(Window.partitionBy(doc, "element", F.col("role").isNull()).orderBy("_order", "_at")).cast("long"))
+    shown = F.when(F.col("role").isNotNull(), F.col("_person.display_name")).otherwise(F.col("_raw"))
+    return parsed.select(doc, F.row_number().over(w).cast("long").alias("ord"), "element", n.alias("n"), "role", shown.alias("value"), F.when(F.col("role").isNotNull(), F.col("_person.sort_name")).alias("file_as"))
+
+
+def inherited(styles: DataFrame, key: list[str], parent: str, value: str) -> DataFrame:
+    """styles with each value from the nearest ancestor that has one. A recursive query: beyond a million steps in all the
+    session's spark.sql.cteRecursionRowLimit has to be raised."""
+    ident = key[-1]
+    scope = key[:-1]
+    on = " AND ".join([*(f"s.{k} = w.{k}" for k in scope), f"s.{ident} = w.up"])
+    names = ", ".join(key)
+    walk = f"""WITH RECURSIVE w AS (
+        SELECT {names}, {parent} AS up, {value} AS found FROM {{styles}}
+        UNION ALL
+        SELECT {", ".join(f"w.{k}" for k in key)}, s.{parent}, s.{value} FROM w JOIN {{styles}} s ON {on} WHERE w.found IS NULL)
+        SELECT {names}, max(found) AS {value} FROM w GROUP BY {names}"""
+    return styles.sparkSession.sql(walk, styles=styles)

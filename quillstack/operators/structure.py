@@ -70,3 +70,27 @@ def relative_depth(rows: DataFrame, doc: str, level: str) -> DataFrame:
 
 def shares(rows: DataFrame, group: list[str], width: str) -> DataFrame:
     return rows.withColumn("percent", F.round(100 * F.col(width) / F.sum(width).over(Window.partitionBy(*group)), 2))
+
+
+def block_runs(rows: DataFrame, doc: str, order: str, kind: str, block: Column) -> DataFrame:
+    """Runs of block rows as one: (doc, first, last, n, kind), where a run of code alone is pre and any other a quote."""
+    w = _ordered(doc, order)
+    marked = rows.withColumn("_block", block)
+    island = F.sum(F.when(F.col("_block") & F.coalesce(F.lag("_block").over(w), F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    runs = marked.withColumn("_run", island).where("_block").groupBy(doc, "_run")
+    out = runs.agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"), F.bool_and(F.col(kind) == "code").alias("_code"))
+    return out.select(doc, "first", "last", "n", F.when(F.col("_code"), "pre").otherwise("blockquote").alias("tag"))
+
+
+def arguments(rows: DataFrame, doc: str, order: str, command: Column, text: str) -> DataFrame:
+    """Each command row with the texts of all rows after it up to the document's end."""
+    w = _ordered(doc, order).rowsBetween(1, Window.unboundedFollowing)
+    return rows.withColumn("arguments", F.collect_list(text).over(w)).where(command)
+
+
+def free_numbers(rows: DataFrame, group: str, number: str) -> DataFrame:
+    """The least number from 1 that each group does not have; numbers below 1 don't matter."""
+    w = Window.partitionBy(group).orderBy(number)
+    ranked = rows.where(F.col(number) >= 1).select(group, number).distinct().withColumn("_n", F.row_number().over(w))
+    held = ranked.where(F.col(number) == F.col("_n")).groupBy(group).agg(F.count(F.lit(1)).alias("_held"))
+    return rows.select(group).distinct().join(held, group, "left").select(group, (F.coalesce("_held", F.lit(0)) + 1).cast("long").alias("free"))

@@ -40,11 +40,15 @@ scalar("de_unicode", T.de_unicode, r"regexp_replace(text, '[^\x00-\x7F]', '#', '
 scalar("truncated_message", T.truncated, "CASE WHEN length(text) > 50 THEN left(text, 50) || '…' ELSE text END")
 scalar("content_digest", lambda c: F.sha2(c, 256), "sha256(text)")
 scalar("text_nfc", kernels.nfc, "nfc_normalize(text)")
-scalar(
-    "latex_quote",
-    T.latex_quote,
-    r"replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text,'\',chr(1)),'{',chr(2)),'}',chr(3)),'$','\$'),'&','\&'),'#','\#'),'%','\%'),'_','\_'),'^','\^{}'),'~','\~{}'),chr(1),'\textbackslash{}'),chr(2),'\{'),chr(3),'\}')",
-)
+_LATEX_SQL = "text"
+for _n, _c in enumerate("\\{}[]"):
+    _LATEX_SQL = f"replace({_LATEX_SQL}, '{_c}', chr({1 + _n}))"
+for _c, _to in (("~", "\x02\\textasciitilde\x03"), (" ", "~"), ("#", "\x01#"), ("$", "\x01$"), ("%", "\x01%"), ("&", "\x01&"), ("<", "\x02\\textless\x03"), (">", "\x02\\textgreater\x03"), ("^", "\x01^\x02\x03"), ("_", "\x01_"), ("`", "\x01`\x02\x03"), ("|", "\x02\\textbar\x03")):
+    _to = "||".join({"\x01": "'\\'", "\x02": "chr(6)", "\x03": "chr(7)"}.get(x, f"'{x}'") for x in _to)
+    _LATEX_SQL = f"replace({_LATEX_SQL}, '{_c}', {_to})"
+for _c, _to in (("chr(1)", "{\\textbackslash}"), ("chr(2)", "\\{"), ("chr(3)", "\\}"), ("chr(4)", "{[}"), ("chr(5)", "{]}"), ("chr(6)", "{"), ("chr(7)", "}")):
+    _LATEX_SQL = f"replace({_LATEX_SQL}, {_c}, '{_to}')"
+scalar("latex_quote", T.latex_quote, _LATEX_SQL)
 scalar("boolean_literal", lambda c: T.parse_boolean(F.when(F.length(c) % 3 == 0, "Yes").when(F.length(c) % 3 == 1, "no").otherwise(c)), "CASE length(text) % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END")
 scalar("multiline_literal", lambda c: F.array_join(T.parse_multiline(F.replace(c, F.lit(","), F.lit(" ; "))), "|"), "array_to_string(list_transform(string_split(replace(text, ',', ' ; '), ';'), lambda x: regexp_replace(x, '^ +| +$', '', 'g')), '|')")
 
