@@ -104,7 +104,7 @@ class Pieces(dict):
     splitting that would leave it whole; probes at the start see that this gives the same ids.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
