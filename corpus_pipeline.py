@@ -24,8 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without chunks of lines that occur earlier; all documents stay."""
-    found = line_chunks.remove_chunks(docs)
+    """Documents without runs of two lines or more that occur earlier; all documents stay."""
+    found = line_chunks.remove_chunks(docs, line_chunks.pairs)
     return found.select([F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

@@ -1,11 +1,15 @@
 """Removal of repeated runs of lines by content-defined chunks.
 
-A chunk ends after a line where a rolling hash over that line's and its predecessor's hashes is 0 modulo AVERAGE,
-so boundaries depend on nearby lines only and an inserted line moves none but its neighbours. Chunks have at
-least LEAST lines (but for a text's last) and at most MOST. A chunk of at least two lines, not all blank, that
+A chunk ends after a line whose own hash is 0 modulo AVERAGE, so an inserted line moves no boundary but its
+neighbours. Chunks have at least LEAST lines and at most MOST; a last line left alone
+joins the chunk before it. A chunk of at least two lines, not all blank, that
 occurs again anywhere goes, except where it occurs first by (doc_id, hash of the text, line). Equal 64-bit hashes
 only nominate: the bytes of a chunk are compared with those of the first occurrence before it goes.
 
+A repeated passage that holds no whole chunk stays. With `pairs` in place of `chunks` every two neighbouring lines are
+such a chunk, so each line of every repeated run of two lines or more goes, wherever the run begins and ends (blank
+lines between blank lines stay); the first occurrence of each line stays. That is twice the bytes in the join.
+
 Defined results: a null text stays null and has no lines; a null doc_id counts as the largest; rows that repeat
 a doc_id and its text count as one occurrence and are treated alike; an empty table gives no rows. Other columns stay,
 but for n_lines and n_removed.
@@ -13,7 +17,7 @@ but for n_lines and n_removed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,31 +26,39 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_A, arrow_rows, mix, stored
+from .common import arrow_rows, stored
 
-AVERAGE, LEAST, MOST = 4, 2, 16
+AVERAGE, LEAST, MOST = 2, 2, 16
 LAST = (1 << 63) - 1
 
+Spans = Callable[[list[bytes]], list[tuple[int, int]]]
+
 _CHUNKS = "doc long, tkey long, line int, n int, h long"
 
 
 def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
     """(first line, number of lines) of each chunk, in order, without gaps."""
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
-    rolled = mix(np.concatenate([np.zeros(1, np.uint64), h[:-1]]) * np.uint64(BASE_A) + h)
-    ends = (rolled % np.uint64(AVERAGE) == 0).tolist()
+    ends = (h % np.uint64(AVERAGE) == 0).tolist()
     out, first = [], 0
     for k, end in enumerate(ends):
         n = k + 1 - first
         if n >= MOST or end and n >= LEAST:
             out.append((first, n))
             first = k + 1
-    if first < len(lines):
+    if out and first + 1 == len(lines):
+        out[-1] = (out[-1][0], out[-1][1] + 1)
+    elif first < len(lines):
         out.append((first, len(lines) - first))
     return out
 
 
-def _chunk(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+def pairs(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(first line, 2) of every two neighbouring lines."""
+    return [(k, 2) for k in range(len(lines) - 1)]
+
+
+def _chunk(batches: Iterator[pa.RecordBatch], with_text: bool, spans: Spans) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * with_text
     names = ["doc", "tkey", "line", "n", "h"] + ["chunk"] * with_text
     for b in batches:
@@ -55,7 +67,7 @@ def _chunk(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Re
             lines = text.encode("utf-8", "surrogatepass").split(b"\n")
             if len(lines) < 2:
                 continue
-            for first, n in chunks(lines):
+            for first, n in spans(lines):
                 part = b"\n".join(lines[first : first + n])
                 if n > 1 and part.strip():
                     h = xxhash.xxh3_64_intdigest(part) - (1 << 63)
@@ -77,15 +89,15 @@ def _without(texts: pd.Series, marks: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def remove_chunks(docs: DataFrame) -> DataFrame:
-    """docs with the repeated chunks gone from text, n_lines before and n_removed lines."""
+def remove_chunks(docs: DataFrame, spans: Spans = chunks) -> DataFrame:
+    """docs with the repeated chunks, or what else spans gives, gone from text, n_lines before and n_removed lines."""
     arrow_rows(docs.sparkSession, 500)
     keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__tkey", F.xxhash64("text"))
     source = keyed.where("instr(text, '\n') > 0").select(F.col("__doc").alias("doc"), F.col("__tkey").alias("tkey"), "text")
-    narrow = source.mapInArrow(lambda it: _chunk(it, False), _CHUNKS)
+    narrow = source.mapInArrow(lambda it: _chunk(it, False, spans), _CHUNKS)
     place = F.struct("doc", "tkey", "line")
     repeated = narrow.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "first")
-    texts = source.mapInArrow(lambda it: _chunk(it, True), _CHUNKS + ", chunk binary")
+    texts = source.mapInArrow(lambda it: _chunk(it, True, spans), _CHUNKS + ", chunk binary")
     met = stored(texts.join(repeated, "h"), "chunks")
     first = met.where(F.struct("doc", "tkey", "line") == F.col("first")).select("h", F.col("chunk").alias("chunk_")).dropDuplicates(["h"])
     # Byte comparison. Chunks that only share the hash of a first occurrence stay.
@@ -94,7 +106,8 @@ def remove_chunks(docs: DataFrame) -> DataFrame:
     without = F.pandas_udf(_without, "string")
     joined = keyed.join(marks.withColumnsRenamed({"doc": "__doc", "tkey": "__tkey"}), ["__doc", "__tkey"], "left")
     lines = lambda c: F.coalesce(F.size(F.split(c, "\n", -1)), F.lit(0))
-    removed = F.coalesce(F.aggregate("__marks", F.lit(0).cast("long"), lambda a, m: a + F.pmod(m, F.lit(64).cast("long"))), F.lit(0).cast("long"))
+    at = lambda m: F.sequence(F.shiftright(m, 6), F.shiftright(m, 6) + F.pmod(m, F.lit(64)) - 1)
+    removed = F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("__marks", at)))), F.lit(0)).cast("long")
     kept = [F.when(F.col("__marks").isNull(), F.col("text")).otherwise(without("text", "__marks")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(lines("text")).cast("long")
     return joined.select(*kept, n_lines.alias("n_lines"), removed.alias("n_removed"))

@@ -163,3 +163,69 @@ def test_line_query(spark):
     keyed = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "xxhash64(text) k", "text").collect()
     want = [(d, n, g, hashlib.sha256((t or "").encode()).hexdigest()) for d, t, n, g in brute_removed(keyed)]
     assert sorted(tuple(r) for r in queries.op4_line_chunks(spark, SF).collect()) == sorted(want)
+
+
+def passages(seed, n):
+    """n passages of 2 to 8 lines, each in two documents between lines of their own."""
+    rng = random.Random(seed)
+    own = lambda: [f"own {rng.random()}" for _ in range(rng.randint(1, 4))]
+    for k in range(n):
+        shared = [f"shared {k} {j}" for j in range(2 + k % 7)]
+        yield shared, own() + shared + own(), own() + shared + own()
+
+
+def test_chunks_find_short_passages():
+    """Lines of passages of 2 to 8 lines that stand in a chunk of either document."""
+    met = all_ = 0
+    for shared, a, b in passages(1, 700):
+        cut = [{tuple(t[p : p + n]) for p, n in line_chunks.chunks([x.encode() for x in t]) if n > 1} for t in (a, b)]
+        met, all_ = met + sum(map(len, cut[0] & cut[1])), all_ + len(shared)
+    assert met >= 0.25 * all_
+
+
+def test_chunks_leave_no_line_of_a_copy():
+    """A text's last line is in a chunk of two lines or more, so a copy goes whole."""
+    for n in range(2, 200):
+        assert all(m > 1 for _, m in line_chunks.chunks([f"line {n} {k}".encode() for k in range(n)]))
+
+
+def runs_removed(rows):
+    """Without chunks(): from each two places in order the longest equal run, extended line by line."""
+    order = sorted((line_chunks.LAST if d is None else d, key, t) for d, key, t in set(rows))
+    lines = [(t or "").split("\n") for _, _, t in order]
+    at = {}
+    for x, part in enumerate(lines):
+        for k, line in enumerate(part):
+            at.setdefault(line, []).append((x, k))
+    gone = [set() for _ in lines]
+    for places in at.values():
+        for j, (x, k) in enumerate(places):
+            for y, m in places[:j]:
+                n = 0
+                while k + n < len(lines[x]) and m + n < len(lines[y]) and lines[x][k + n] == lines[y][m + n]:
+                    n += 1
+                gone[x] |= {k + i + e for i in range(n - 1) if "".join(lines[x][k + i : k + i + 2]).encode().strip() for e in (0, 1)}
+    cut = {(d, key): ("\n".join(v for k, v in enumerate(part) if k not in g), len(g)) for (d, key, _), part, g in zip(order, lines, gone)}
+    out = []
+    for d, key, t in rows:
+        kept, n = cut[line_chunks.LAST if d is None else d, key]
+        out.append((d, None if t is None else kept, 0 if t is None else len(t.split("\n")), n))
+    return sorted(out, key=str)
+
+
+def test_remove_runs(spark):
+    rows = [(2 * k + e, "\n".join(t), "", "", 1) for k, (_, *two) in enumerate(passages(2, 40)) for e, t in enumerate(two)]
+    rows += [(200, "x\n\n\n\ny\nx\n\n\n\ny", "", "", 1), (201, "z\nz\nz\nz", "", "", 1), (None, rows[0][1], "", "", 1)] + edge_rows()
+    df = spark.createDataFrame(rows, DOCS).repartition(4).cache()
+    keyed = [tuple(r) for r in df.selectExpr("doc_id", "xxhash64(text) k", "text").collect()]
+    got = line_chunks.remove_chunks(df, line_chunks.pairs).select("doc_id", "text", "n_lines", "n_removed")
+    assert sorted(map(tuple, got.collect()), key=str) == runs_removed(keyed)
+
+
+def test_line_stage(spark):
+    """Every line of every passage goes from the later document, none of its own."""
+    two = [(a, b, len(shared)) for shared, a, b in passages(3, 40)]
+    docs = spark.createDataFrame([(2 * k + e, "\n".join(t), "", "", 1) for k, (*ab, _) in enumerate(two) for e, t in enumerate(ab)], DOCS)
+    got = {r["doc_id"]: r["text"].split("\n") for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()}
+    for k, (a, b, n) in enumerate(two):
+        assert got[2 * k] == a and got[2 * k + 1] == [x for x in b if x.startswith("own")]
