@@ -140,14 +140,22 @@ def _scan(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
         unit = _unit(x)
         q = _matrix(queries.column("embedding").combine_chunks())
         near = _unit(q) @ unit.T
+        names, of = np.unique(ids, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        starts = np.searchsorted(of[order], np.arange(len(names)))
         for row, query in enumerate(queries.column("vec_id").to_pylist()):
             near[row, ids == query] = -np.inf
-            some = min(k, len(ids))
-            limit = np.partition(near[row], len(ids) - some)[len(ids) - some]
+            # The k-th of the vec_ids, each with its best row.
+            by_id = near[row] if len(names) == len(ids) else np.maximum.reduceat(near[row][order], starts)
+            some = min(k, len(names))
+            limit = np.partition(by_id, len(names) - some)[len(names) - some]
             # All within rounding of the k-th, scored exactly; then ties by vec_id.
             take = np.flatnonzero(near[row] >= max(limit - 1e-9, -2))
             score = cosines(q[row], x[take])
-            best = np.lexsort((ids[take], -score))[:k] if len(np.unique(ids[take])) == len(take) else np.lexsort((ids[take], -score))
+            best = np.lexsort((ids[take], -score))
+            if len(names) < len(ids):
+                best = best[np.sort(np.unique(ids[take][best], return_index=True)[1])]
+            best = best[:k]
             out[0] += [query] * len(best)
             out[1] += ids[take][best].tolist()
             out[2] += score[best].tolist()

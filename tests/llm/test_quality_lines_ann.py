@@ -116,6 +116,17 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_repeated_neighbours(spark):
+    """Rows that repeat a near vec_id take the place of no other."""
+    at = lambda c: [c, (1 - c * c) ** 0.5] + [0.0] * 6
+    rows = [(0, at(1.0), 0)] + [(2, at(0.9), 0)] * 5 + [(2, at(0.3), 0), (3, at(0.8), 0), (4, at(0.7), 0), (4, at(0.75), 0), (5, at(0.6), 0), (6, at(0.5), 0), (7, at(0.4), 0)]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = sorted(tuple(r) for r in neighbours.nearest(df, df.where("vec_id = 0")).collect())
+    want = brute_nearest(rows)
+    assert [g[:3] for g in got] == [w[:3] for w in want] == [(0, r, i) for r, i in enumerate([2, 3, 4, 5, 6], 1)]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-6)
+
+
 def test_neighbour_blocks(spark, monkeypatch):
     """Lists dealt in small blocks give the same; recall on real rows."""
     monkeypatch.setattr(neighbours, "BLOCK", 7)
