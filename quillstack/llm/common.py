@@ -102,15 +102,21 @@ class Pieces(dict):
     a mark, whatever stands around, so the ids of a text are the ids of its pieces in order. Two generations of
     about `limit` pieces each are kept. A piece of letters goes to the tokenizer's model at once, without the
     splitting that would leave it whole; probes at the start see that this gives the same ids.
+
+    With `added`, the tokenizer's added tokens (<|endoftext|>) in a text are their own ids, as in encode() of an
+    untouched Tokenizer; otherwise they are text like any other.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 500_000, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        # None of the tokenizers' added tokens is normalized, strips white space or asks for a whole word.
+        whole = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True) if added else []
+        self.added = re.compile("(" + "|".join(map(re.escape, whole)) + ")") if whole else None
         self.model, self.limit = self.tokenizer.model, limit
         self.old: dict[str, bytes] = {}
         self.ready = False
@@ -148,18 +154,23 @@ class Pieces(dict):
             if len(self) > self.limit:
                 self.old = dict(self)
                 self.clear()
-            out.append(b"".join(map(get, split(text))))
+            if self.added and self.added.search(text):
+                # Odd parts are added tokens; white space before one ends its own part.
+                parts = self.added.split(text)
+                out.append(b"".join(self._of_text(p) if k % 2 else b"".join(map(get, split(p))) for k, p in enumerate(parts)))
+            else:
+                out.append(b"".join(map(get, split(text))))
         return out
 
 
-_PIECES: dict[str, Pieces] = {}
+_PIECES: dict[tuple[str, bool], Pieces] = {}
 
 
-def pieces_of(path: str) -> Pieces:
+def pieces_of(path: str, added: bool = False) -> Pieces:
     """One per worker process, kept from task to task."""
-    if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
+    if (path, added) not in _PIECES:
+        _PIECES[path, added] = Pieces(path, added=added)
+    return _PIECES[path, added]
 
 
 # --- words --------------------------------------------------------------------------------------------------

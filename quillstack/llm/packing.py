@@ -108,8 +108,8 @@ def tail_cuts(start: int, end: int, size: int = SIZE) -> list[int]:
     return best[1] if best else []
 
 
-def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
-    pieces = pieces_of(tokenizer)
+def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, size: int, added: bool) -> Iterator[pa.RecordBatch]:
+    pieces = pieces_of(tokenizer, added)
     is_end = sentence_ends(pieces.tokenizer)
     is_end = np.append(is_end, [False] * max(0, end_id + 1 - len(is_end)))
     end = np.array([end_id], "<u4").tobytes()
@@ -162,10 +162,10 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, size:
         yield from cut(True)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE, added: bool = False) -> DataFrame:
     """Pieces of docs(doc_id, text): each id lies in exactly one; offsets in a sequence have no gaps."""
     spark = docs.sparkSession
     arrow_rows(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())
     ordered = source.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(lambda it: _pack(it, tokenizer, end_id, size), PIECES)
+    return ordered.mapInArrow(lambda it: _pack(it, tokenizer, end_id, size, added), PIECES)

@@ -122,8 +122,8 @@ def decode_block(block: bytes, symbols: np.ndarray, sizes: np.ndarray, width: in
 # --- Spark --------------------------------------------------------------------------------------------------
 
 
-def _stage(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    pieces, shard, done = pieces_of(tokenizer), TaskContext.get().partitionId(), 0
+def _stage(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, added: bool) -> Iterator[pa.RecordBatch]:
+    pieces, shard, done = pieces_of(tokenizer, added), TaskContext.get().partitionId(), 0
     end = np.array([end_id], "<u4").tobytes()
     wide = max(pieces.vocabulary(), end_id + 1) > 1 << 16
     docs: list = []
@@ -163,15 +163,15 @@ def _counted(batches: Iterator[pa.RecordBatch], vocabulary: int) -> Iterator[pa.
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["id", "n"])
 
 
-def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
+def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, added: bool = False) -> None:
     """Tokenize docs(doc_id, text) and write `path`/blocks and `path`/codebook."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    vocabulary = max(pieces_of(tokenizer).vocabulary(), end_id + 1)
+    vocabulary = max(pieces_of(tokenizer, added).vocabulary(), end_id + 1)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())
     ordered = source.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     staged_path = f"{path}/staged"
-    ordered.mapInArrow(lambda it: _stage(it, tokenizer, end_id), _STAGED).write.option("compression", "zstd").parquet(staged_path)
+    ordered.mapInArrow(lambda it: _stage(it, tokenizer, end_id, added), _STAGED).write.option("compression", "zstd").parquet(staged_path)
     staged = spark.read.schema(_STAGED).parquet(staged_path)
     # One row per id and task at most, then one per id: bounded by the vocabulary.
     counted = staged.select("ids").mapInArrow(lambda it: _counted(it, vocabulary), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
@@ -223,8 +223,8 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
     return blocks.mapInArrow(decode, DECODED + ", ids binary" * with_ids)
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, added: bool = False) -> DataFrame:
     """Write docs as token files in a fresh shared folder and read them back."""
     path = work_dir(docs.sparkSession, "token-files")
-    write_files(docs, path, tokenizer, end_id)
+    write_files(docs, path, tokenizer, end_id, added)
     return read_files(docs.sparkSession, path)

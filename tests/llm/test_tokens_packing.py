@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quillstack.llm import packing, token_files
+import corpus_pipeline
+from quillstack.llm import packing, queries, token_files
 from quillstack.llm.common import Pieces
 
 from .conftest import DOCS, edge_rows, prose
@@ -123,3 +124,38 @@ def test_best_cuts(steps):
     cuts = packing.best_cuts(where, cost, size)
     total = sum((0 if b - a in exact else size - (b - a)) + pen[pos.index(b)] for a, b in zip([0, *cuts], cuts))
     assert total == best[-1] and cuts[-1] == pos[-1]
+
+
+SPECIAL = ["a <|endoftext|> b", "  x \n<|startoftext|><|endoftext|>\t\ty ", "<|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", "e<|endoftext|>\u0301 İ  <|startoftext|>'s"]
+
+
+def untouched(path):
+    t = Tokenizer.from_file(path)
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_added_tokens_are_the_tokenizers(path):
+    encode, pieces, rng = untouched(path), Pieces(path, limit=50, added=True), random.Random(5)
+    alphabet = ["a", "B", "'s", " ", "  ", "\n", "\t", "1", "!", "é", "\u0301", "\x85", "日本", "İ", "<|endoftext|>", "<|startoftext|>", "<|", "|>"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 20))) for _ in range(1500)] + SPECIAL + [r[1] or "" for r in edge_rows()]
+    for t, got in zip(texts, pieces.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == encode(t), repr(t)
+
+
+def test_queries_keep_added_tokens(spark, tmp_path):
+    """The registered queries and the pipeline's last stage against an untouched Tokenizer."""
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(SPECIAL)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    at, want = 0, []
+    for k, t in enumerate(SPECIAL):
+        ids = [*untouched(BYTE)(t), 0]
+        want.append((k, at, len(ids), crc(ids)))
+        at += len(ids)
+    assert sorted(tuple(r) for r in queries.op1_token_files(spark, str(tmp_path)).collect()) == want
+    whole = [[*untouched(WORD)(t), 1] for t in SPECIAL]
+    for found in (queries.op2_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        for r in found.collect():
+            ids = whole[r["doc_id"]]
+            assert r["doc_tokens"] == len(ids) and crc(ids[r["start"] : r["start"] + r["length"]]) == r["ids_crc32"]
