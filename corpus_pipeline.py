@@ -24,7 +24,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of two lines or more that occur earlier; all documents stay."""
+    """Documents without runs of two lines or more that occur earlier; all documents stay.
+
+    A copy of several lines becomes an empty text and stays under its doc_id. An empty set is linked with nothing, so
+    such documents pass near_duplicates and reach packing as a bare end id.
+    """
     found = line_chunks.remove_chunks(docs, line_chunks.pairs)
     return found.select([F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
