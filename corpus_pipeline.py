@@ -52,7 +52,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_quality), ("lines", drop_repeated_lines), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("packing", pack)]
 
-#: Hashed features, a fitted model and dynamic programming have no SQL form; tests compare the stages with brute force.
+#: Hashed features, a fitted model and dynamic programming have no SQL form. Tests hold the operators against brute force;
+#: of the stages themselves only lines and packing, each on a small table, and never run() as a whole.
 ORACLE_SQL = None
 
 
