@@ -113,12 +113,12 @@ def generated_id(document: Column, ordinal: Column) -> Column:
 def macro_name(c: Column, prefix: str) -> Column:
     """prefix + first part, later parts capitalised; null where other than a-z and dashes occur."""
     parts = F.split(c, "-")
-    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000_000)))
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2))))
     return F.when(~c.rlike("[^a-z-]"), F.concat(F.lit(prefix), parts[0], F.array_join(rest, "")))
 
 
 def default_label(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
 
 
 def heading_level(level: Column, shift: int) -> Column:

@@ -176,3 +176,9 @@ def test_null_and_empty(spark, writer):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "<h1>x")], "page_id long, html string")
     assert conversion.converted(rows, "page_id", "html", "html", writer).count() == 3
     assert conversion.converted(rows.where("false"), "page_id", "html", "html", writer).count() == 0
+
+
+def test_long_parts_stay_whole(spark):
+    long = "b" * 1_000_003
+    assert values(spark, lambda c: F.length(K.macro_name(c, "doc")), f"a-{long}") == [3 + 1 + len(long)]
+    assert values(spark, lambda c: F.length(K.default_label(c)), long) == [len(long)]
