@@ -9,7 +9,6 @@ import shutil
 import tempfile
 import uuid
 from array import array
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,57 +16,79 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: long texts make a batch of 10,000 rows too large for a worker's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch, the same for all operators: long texts make a batch of 10,000 rows too large for a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 500, 64 << 20
 
-_OWN_BASE: list[str] = []
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def work_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share.
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share; it goes when the application ends.
 
     Where the setting is absent (tests in local mode) a temporary folder of this process is used; on a
     cluster a machine's own folder would lose data, so that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _OWN_BASE:
-            _OWN_BASE.append(tempfile.mkdtemp(prefix="quillstack-"))
-            atexit.register(shutil.rmtree, _OWN_BASE[0], ignore_errors=True)
-        base = _OWN_BASE[0]
-    return f"{base.rstrip('/')}/quillstack/{tag}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    if not hasattr(context, "_quillstack_work"):
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="quillstack-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+        run = f"{base.rstrip('/')}/quillstack-{uuid.uuid4().hex}"
+        path, store = _path(spark, run)
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        context._quillstack_work = run
+    return f"{context._quillstack_work}/{tag}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df, written to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = work_dir(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_in = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        drop_path(df.sparkSession, df._stored_in)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, store = _path(spark, path)
+    store.delete(p, True)
 
 
-def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_rows(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, size: int = 0, each: int = 64 << 20) -> int:
+    """Shuffle partitions: as set, or more where `size` bytes would make parts of over `each`."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit("")).alias(name)
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def text_or_empty(name: str = "text") -> Column:
+    return F.coalesce(F.col(name), F.lit("")).alias(name)
 
 
 def binary_array(values: list[bytes]) -> pa.Array:
@@ -206,22 +227,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def rolling(hashes: np.ndarray, width: int, base: int) -> np.ndarray:
-    """Mixed polynomial hash of each run of `width` consecutive hashes."""
+    """Mixed polynomial hash of each run of `width` consecutive hashes; runs are put together from halves."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    b = np.uint64(base)
-    for k in range(width):
-        out *= b
-        out += hashes[k : k + n]
-    return mix(out)
+    power = lambda k: np.uint64(pow(base, k, 1 << 64))
+    out, have = None, 0
+    part, size = hashes, 1
+    while True:
+        if width & size:
+            # `out` covers the first `have` places of a run; the next `size` follow.
+            out = part[:n] if out is None else out[:n] * power(size) + part[have : have + n]
+            have += size
+        if have == width:
+            return mix(out[:n])
+        part = part[: len(part) - size] * power(size) + part[size:]
+        size *= 2
 
 
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-
-
-def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)

@@ -91,7 +91,7 @@ def _without(texts: pd.Series, marks: pd.Series) -> pd.Series:
 
 def remove_chunks(docs: DataFrame, spans: Spans = chunks) -> DataFrame:
     """docs with the repeated chunks, or what else spans gives, gone from text, n_lines before and n_removed lines."""
-    arrow_rows(docs.sparkSession, 500)
+    arrow_rows(docs.sparkSession)
     keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__tkey", F.xxhash64("text"))
     source = keyed.where("instr(text, '\n') > 0").select(F.col("__doc").alias("doc"), F.col("__tkey").alias("tkey"), "text")
     narrow = source.mapInArrow(lambda it: _chunk(it, False, spans), _CHUNKS)

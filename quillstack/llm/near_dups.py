@@ -155,7 +155,7 @@ def _across(pool: DataFrame, classes: DataFrame, texts: DataFrame, numerator: in
 def near_duplicates(docs: DataFrame, numerator: int = 75) -> DataFrame:
     """Per document its set's size, its component's least doc_id, and whether it is that document."""
     spark = docs.sparkSession
-    arrow_rows(spark, 500)
+    arrow_rows(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = stored(texts.mapInArrow(_sign, _SIGNED), "signatures")
     linkable = signed.where("digest is not null and doc_id is not null")

@@ -165,7 +165,7 @@ def _scan(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int | None = None) -> DataFrame:
     """The k nearest rows of vectors(vec_id, embedding) for each row of queries(vec_id, embedding)."""
     spark = vectors.sparkSession
-    arrow_rows(spark, 2000)
+    arrow_rows(spark)
 
     def valid(df: DataFrame) -> DataFrame:
         df = df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null")
