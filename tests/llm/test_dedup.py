@@ -63,12 +63,28 @@ def test_substrings(spark, edge, monkeypatch, stretch, bucket):
     assert substrings.remove_repeats(edge.limit(0)).count() == 0
 
 
+def starts_of(data):
+    return [first + k for first, n in np.frombuffer(data, "<i4").reshape(-1, 2).tolist() for k in range(n)]
+
+
+def test_hot_bucket(spark, monkeypatch):
+    """Buckets that are too large go on by whole windows, repeated doc_ids by a shuffle; the result is the same."""
+    monkeypatch.setattr(substrings, "BUCKET_MOST", 2000)
+    monkeypatch.setattr(substrings, "STRETCH_WORDS", 500)
+    monkeypatch.setattr(substrings, "FEW", 0)
+    rng = random.Random(9)
+    rows = heavy() + [(3, prose(rng, 80), "", "", 1), (3, prose(rng, 80) + " " + heavy()[0][1], "", "", 1)]
+    rows += [(300 + k, " ".join(w for n in range(40) for w in ("a b c d", f"v{rng.randrange(50)}")), "", "", 1) for k in range(40)]
+    df = spark.createDataFrame(rows, DOCS).repartition(6).withColumnRenamed("lang", "nth").withColumnRenamed("source", "several")
+    assert sorted((tuple(r) for r in substrings.remove_repeats(df).collect()), key=str) == brute_removed(rows)
+
+
 def test_stretches():
     """Small stretches leave more to the buckets; the marks are the same."""
     import pyarrow as pa
 
     rows = heavy()
-    t = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * len(rows), pa.int64()), pa.array([r[1] for r in rows])], names=["doc", "tkey", "text"])
+    t = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * len(rows), pa.int64()), pa.array([r[1] for r in rows])], names=["doc", "nth", "text"])
     seen = []
     for size in (700_000, 500, 1):
         old, substrings.STRETCH_WORDS = substrings.STRETCH_WORDS, size
@@ -78,9 +94,9 @@ def test_stretches():
                 if r["doc"] is None:
                     blobs.setdefault(r["bucket"], []).append(r["data"])
                 else:
-                    marks |= {(r["doc"], p) for p in np.frombuffer(r["data"], "<i4").tolist()}
+                    marks |= {(r["doc"], p) for p in starts_of(r["data"])}
         for some in blobs.values():
-            marks |= {(d, p) for d, _, data in substrings._bucket(some) for p in np.frombuffer(data, "<i4").tolist()}
+            marks |= {(d, p) for _, d, _, data in substrings._bucket(some) for p in starts_of(data)}
         substrings.STRETCH_WORDS = old
         seen.append(marks)
     assert seen[0] == seen[1] == seen[2] and seen[0]
