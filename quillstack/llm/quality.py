@@ -6,13 +6,15 @@ grade and the tail probability P(grade = 2); a document is kept where the tail p
 
 Fitting uses at most SAMPLE labelled documents, those with the least hash of doc_id; scoring reads every text whole.
 A distinct token of a document counts once, as its word without marks and as that word's first 4, 5 and 6
-characters, each hashed to 32 bits. Only hashes that at least MIN_DOCS fitted documents hold and that tell the
-highest grade from the others by ERRORS standard errors have weights, the KEPT best ones at most, and soft thresholding holds those at 0 unless they matter, so
-long texts are not drowned in noise.
+characters, each hashed to 32 bits. Only hashes that the fitted documents hold MIN_DOCS times and that tell the
+highest grade from the others by ERRORS standard errors have weights, the KEPT best ones at most, and soft
+thresholding holds those at 0 unless they matter, so long texts are not drowned in noise. Hashes are counted and
+chosen in executors; the driver gets, of each sampled document, at most its places among the chosen ones.
 
 Defined results: a null text is the empty text; labels that are null, out of 0 and 1, or of unknown documents are
 not used; a doc_id labelled twice is used twice; without labels of two different grades every document is kept with
-tail probability 1; an empty table gives no rows. Other columns of docs stay, but for those named as results.
+tail probability 1; an empty table gives no rows. Texts of any length are scored whole, one at a time; equal texts get
+equal grades. Other columns of docs stay, whatever their names, but for those named as results.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, binary_array
+from .common import arrow_rows, binary_array, discard, free, stored
 
 SAMPLE = 12_000
 KEPT = 8192
@@ -92,70 +94,74 @@ class Model:
         return above.sum(axis=1), above[:, -1]
 
 
-def _telling(tokens: list[np.ndarray], top: np.ndarray) -> np.ndarray:
-    """The hashes that get weights, in order. Sorts 32-bit copies in place: the driver holds each token a few times only."""
+def tally(tokens: list[np.ndarray], top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each hash, how often the documents hold it, and how often those of the highest grade do."""
     each = np.concatenate([np.empty(0, np.uint32), *tokens])
-    each.sort()
-    starts = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]])) if len(each) else np.empty(0, np.int64)
-    often = np.diff(np.append(starts, len(each)))
-    starts, often = starts[often >= MIN_DOCS], often[often >= MIN_DOCS]
-    used = each[starts]
-    of_top = np.concatenate([np.empty(0, np.uint32), *(t for t, is_top in zip(tokens, top) if is_top)])
-    of_top.sort()
-    held = np.searchsorted(of_top, used, "right") - np.searchsorted(of_top, used, "left")
-    # How far the share of the highest grade among a hash's documents is from its share overall.
-    base = top.mean()
-    gain = np.abs(held - often * base) / np.sqrt(often * base * (1 - base) + 1e-9)
-    best = np.sort(np.argsort(-gain, kind="stable")[:KEPT])
-    return used[best[gain[best] >= ERRORS]]
-
-
-def _located(tokens: list[np.ndarray], used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Document and place in `used` of every token that is there."""
-    rows, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for n, t in enumerate(tokens if len(used) else []):
-        at = np.searchsorted(used, t)
-        at = at[used[np.minimum(at, len(used) - 1)] == t]
-        rows.append(np.full(len(at), n))
-        places.append(at)
-    return np.concatenate(rows), np.concatenate(places)
+    of_top = np.repeat(top, [len(t) for t in tokens])
+    used, place = np.unique(each, return_inverse=True)
+    return used, np.bincount(place, minlength=len(used)), np.bincount(place[of_top], minlength=len(used))
 
 
-def fit(grades: np.ndarray, tokens: list[np.ndarray], dense: np.ndarray, steps: int = STEPS) -> Model | None:
-    """Proximal Adam on the mean log-loss; None without two different grades."""
+def telling(used: np.ndarray, often: np.ndarray, held: np.ndarray, base: float) -> np.ndarray:
+    """The hashes that get weights, in order: how far their share of the highest grade is from `base`, its share overall."""
+    some = often >= MIN_DOCS
+    used, often, held = used[some], often[some], held[some]
+    gain = np.abs(held - often * base) / np.sqrt(often * base * (1 - base) + 1e-9)
+    best = np.argsort(-gain, kind="stable")[:KEPT]
+    return np.sort(used[best[gain[best] >= ERRORS]])
+
+
+def located(tokens: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Places in `used` of the tokens that are there."""
+    if not len(used):
+        return np.empty(0, np.int64)
+    at = np.searchsorted(used, tokens)
+    return at[used[np.minimum(at, len(used) - 1)] == tokens]
+
+
+def slope(p: np.ndarray, row: np.ndarray, index: np.ndarray, x: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood (with the measures' small ridge) and its gradient.
+
+    p holds the token weights, the measure weights, the first threshold and logs of the gaps between thresholds.
+    """
+    n, b = len(grades), len(p) - GRADES + 1
+    a = b - x.shape[1]
+    theta = p[b] + np.concatenate([[0], np.cumsum(np.exp(p[b + 1 :]))])
+    score = np.bincount(row, p[index], n) + x @ p[a:b]
+    cdf = np.concatenate([np.zeros((n, 1)), _sigmoid(theta[None, :] - score[:, None]), np.ones((n, 1))], axis=1)
+    pdf = cdf * (1 - cdf)
+    take = np.arange(n)
+    prob = np.maximum(cdf[take, grades + 1] - cdf[take, grades], 1e-9)
+    to_score = (pdf[take, grades + 1] - pdf[take, grades]) / prob / n
+    g = np.empty(len(p))
+    g[:a] = np.bincount(index, to_score[row], a)
+    g[a:b] = x.T @ to_score + 1e-4 * p[a:b]
+    to_theta = np.zeros(GRADES - 1)
+    for k in range(GRADES - 1):
+        to_theta[k] = -((pdf[:, k + 1] * (grades == k) - pdf[:, k + 1] * (grades == k + 1)) / prob).sum() / n
+    g[b] = to_theta.sum()
+    for k in range(1, GRADES - 1):
+        g[b + k] = to_theta[k:].sum() * np.exp(p[b + k])
+    return -np.log(prob).mean() + 0.5e-4 * (p[a:b] ** 2).sum(), g
+
+
+def fitted(grades: np.ndarray, used: np.ndarray, places: list[np.ndarray], dense: np.ndarray, steps: int = STEPS) -> Model | None:
+    """Proximal Adam from each document's places in `used`; None without two different grades."""
     if len(np.unique(grades)) < 2:
         return None
     n = len(grades)
     mean, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-6
     x = np.clip((dense - mean) / scale, -6, 6)
-    top = grades == GRADES - 1
-    used = _telling(tokens, top)
-    row, index = _located(tokens, used)
-    # Parameters: token weights, measure weights, first threshold, logs of the gaps between thresholds.
-    size = len(used) + x.shape[1] + GRADES - 1
-    p, first, second = np.zeros(size), np.zeros(size), np.zeros(size)
+    row = np.repeat(np.arange(n), [len(t) for t in places])
+    index = np.concatenate([np.empty(0, np.int64), *places]).astype(np.int64)
+    a, b = len(used), len(used) + x.shape[1]
+    p = np.zeros(b + GRADES - 1)
+    first, second = np.zeros(len(p)), np.zeros(len(p))
     share = np.clip(np.array([(grades <= k).mean() for k in range(GRADES - 1)]), 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
-    p[len(used) + x.shape[1] :] = [start[0], *np.log(np.maximum(np.diff(start), 0.05))]
-    a, b = len(used), len(used) + x.shape[1]
+    p[b:] = [start[0], *np.log(np.maximum(np.diff(start), 0.05))]
     for t in range(1, steps + 1):
-        theta = p[b] + np.concatenate([[0], np.cumsum(np.exp(p[b + 1 :]))])
-        score = np.bincount(row, p[index], n) + x @ p[a:b]
-        cdf = np.concatenate([np.zeros((n, 1)), _sigmoid(theta[None, :] - score[:, None]), np.ones((n, 1))], axis=1)
-        pdf = cdf * (1 - cdf)
-        take = np.arange(n)
-        hi, lo = cdf[take, grades + 1], cdf[take, grades]
-        prob = np.maximum(hi - lo, 1e-9)
-        to_score = (pdf[take, grades + 1] - pdf[take, grades]) / prob / n  # of the negative log-likelihood
-        g = np.empty(size)
-        g[:a] = np.bincount(index, to_score[row], a)
-        g[a:b] = x.T @ to_score + 1e-4 * p[a:b]
-        to_theta = np.zeros(GRADES - 1)
-        for k in range(GRADES - 1):
-            to_theta[k] = -((pdf[:, k + 1] * (grades == k) - pdf[:, k + 1] * (grades == k + 1)) / prob).sum() / n
-        g[b] = to_theta.sum()
-        for k in range(1, GRADES - 1):
-            g[b + k] = to_theta[k:].sum() * np.exp(p[b + k])
+        _, g = slope(p, row, index, x, grades)
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         rate = RATE / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
         p -= rate * first / (1 - 0.9**t)
@@ -164,19 +170,48 @@ def fit(grades: np.ndarray, tokens: list[np.ndarray], dense: np.ndarray, steps:
     return Model(weights, p[a:b], mean, scale, p[b] + np.concatenate([[0], np.cumsum(np.exp(p[b + 1 :]))]))
 
 
+def fit(grades: np.ndarray, tokens: list[np.ndarray], dense: np.ndarray, steps: int = STEPS) -> Model | None:
+    """From documents held in memory."""
+    top = grades == GRADES - 1
+    used = telling(*tally(tokens, top), top.mean())
+    return fitted(grades, used, [located(t, used) for t in tokens], dense, steps)
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        tokens = [np.frombuffer(t, "<u4") for t in b.column("tokens").to_pylist()]
+        used, often, held = tally(tokens, b.column("grade").to_numpy() == GRADES - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (used, often, held)], names=["hash", "often", "held"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch], used: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        places = [located(np.frombuffer(t, "<u4"), used).astype("<u2").tobytes() for t in b.column("tokens").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("grade"), binary_array(places), b.column("measures")], names=["grade", "places", "measures"])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Fitted on the driver, which gets at most KEPT hashes and, of each sampled document, its places among them."""
     spark = docs.sparkSession
-    arrow_rows(spark, 500)
+    arrow_rows(spark)
     graded = labels.where("quality in (0, 1) and toxic in (0, 1) and doc_id is not null")
     graded = graded.select(F.col("doc_id").cast("long").alias("__id"), (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade"))
     # At most SAMPLE rows of two numbers: small enough to broadcast whatever the tables' size.
     sample = graded.orderBy(F.xxhash64("__id"), "__id", "grade").limit(SAMPLE)
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(sample), "__id").select("grade", "text").mapInArrow(_features, "grade int, tokens binary, measures binary").toPandas()
-    if not len(rows):
+    rows = stored(texts.join(F.broadcast(sample), "__id").select("grade", "text").mapInArrow(_features, "grade int, tokens binary, measures binary"), "quality-sample")
+    n, top = rows.agg(F.count(F.lit(1)), F.sum((F.col("grade") == GRADES - 1).cast("int"))).first()
+    if not n:
         return None
-    tokens = [np.frombuffer(t, "<u4") for t in rows["tokens"]]
-    return fit(rows["grade"].to_numpy(np.int64), tokens, np.stack([np.frombuffer(m, "<f8") for m in rows["measures"]]))
+    base = top / n
+    counts = rows.mapInArrow(_tallied, "hash long, often long, held long").groupBy("hash").agg(F.sum("often").alias("often"), F.sum("held").alias("held")).where(f"often >= {MIN_DOCS}")
+    gain = F.abs(F.col("held") - F.col("often") * F.lit(base)) / F.sqrt(F.col("often") * F.lit(base) * F.lit(1 - base) + F.lit(1e-9))
+    best = counts.withColumn("gain", gain).orderBy(F.desc("gain"), "hash").limit(KEPT).where(F.col("gain") >= ERRORS)
+    used = np.sort(np.array([r["hash"] for r in best.select("hash").collect()], np.uint32))
+    held = rows.mapInArrow(lambda it: _placed(it, used), "grade int, places binary, measures binary").toArrow()
+    discard(rows)
+    places = [np.frombuffer(t.as_buffer() or b"", "<u2") for t in held.column("places")]
+    return fitted(held.column("grade").to_numpy().astype(np.int64), used, places, np.stack([np.frombuffer(m.as_buffer(), "<f8") for m in held.column("measures")]))
 
 
 class _Weights(dict):
@@ -197,7 +232,7 @@ def graded(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFr
     kept = [c for c in docs.columns if c not in RESULT]
     if model is None:
         return docs.select(*kept, F.lit(float(GRADES - 1)).alias("expected_grade"), F.lit(1.0).alias("tail_probability"), F.lit(True).alias("keep"))
-    arrow_rows(docs.sparkSession, 500)
+    arrow_rows(docs.sparkSession)
 
     @F.pandas_udf("expected_grade double, tail_probability double")
     def grade(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -213,6 +248,7 @@ def graded(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFr
             expected, tail = model.grades(np.array(score, float) + x @ model.dense)
             yield pd.DataFrame({"expected_grade": expected, "tail_probability": tail})
 
-    found = docs.withColumn("__grade", grade(F.coalesce("text", F.lit(""))))
-    tail = F.col("__grade.tail_probability")
-    return found.select(*kept, F.col("__grade.expected_grade").alias("expected_grade"), tail.alias("tail_probability"), (tail >= least).alias("keep"))
+    (result,) = free(docs, "__grade")
+    found = docs.withColumn(result, grade(F.coalesce("text", F.lit(""))))
+    tail = F.col(f"{result}.tail_probability")
+    return found.select(*kept, F.col(f"{result}.expected_grade").alias("expected_grade"), tail.alias("tail_probability"), (tail >= least).alias("keep"))

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillstack.llm import line_chunks, neighbours, quality, queries
@@ -69,6 +70,111 @@ def test_gradient_and_order():
     assert quality.fit(np.ones(5, int), tokens[:5], dense[:5]) is None
 
 
+def test_slope():
+    """The gradient against differences of the loss."""
+    rng = np.random.default_rng(4)
+    grades, x = rng.integers(0, 3, 40), rng.normal(size=(40, 3))
+    row, index = rng.integers(0, 40, 90), rng.integers(0, 5, 90)
+    p = rng.normal(size=10) * 0.3
+    _, g = quality.slope(p, row, index, x, grades)
+    for k in range(len(p)):
+        step = np.eye(len(p))[k] * 1e-6
+        assert abs((quality.slope(p + step, row, index, x, grades)[0] - quality.slope(p - step, row, index, x, grades)[0]) / 2e-6 - g[k]) < 1e-7
+
+
+def plain_quality(docs, labels):
+    """The operator in plain loops: features, choice of hashes, proximal Adam and scores of all documents."""
+    import math
+
+    import xxhash
+
+    def parts(token):
+        word = token.strip(quality._MARKS) or token
+        return [xxhash.xxh32_intdigest(p.encode(), n) for n, p in enumerate([" " + word, word[:4], word[:5], word[:6]])]
+
+    def seen(text):
+        tokens = text.lower().split()
+        raw = text.encode()
+        kinds = [0] * 7
+        for c in raw:
+            kinds[0 if 65 <= c <= 90 else 1 if 97 <= c <= 122 else 2 if 48 <= c <= 57 else 3 if c == 32 else 4 if c == 10 else 5 if c < 128 else 6] += 1
+        n = max(len(tokens), 1)
+        dense = [k / max(len(raw), 1) for k in kinds] + [len(set(tokens)) / n, sum(a == b for a, b in zip(tokens, tokens[1:])) / n, len(raw) / n / 10, math.log1p(len(tokens)), float(len(tokens) < 5)]
+        return [h for t in set(tokens) for h in parts(t)], dense
+
+    by_id = {}
+    for i, t in docs:
+        by_id.setdefault(i, []).append(seen(t or ""))
+    rows = [(q + 1 - t, *f) for i, q, t in labels if q in (0, 1) and t in (0, 1) for f in by_id.get(i, [])]
+    often, held = {}, {}
+    for g, hs, _ in rows:
+        for h in hs:
+            often[h] = often.get(h, 0) + 1
+            held[h] = held.get(h, 0) + (g == 2)
+    base = sum(g == 2 for g, _, _ in rows) / len(rows)
+    gain = {h: abs(held[h] - n * base) / math.sqrt(n * base * (1 - base) + 1e-9) for h, n in often.items() if n >= quality.MIN_DOCS}
+    used = [h for h in sorted(gain, key=lambda h: (-gain[h], h))[: quality.KEPT] if gain[h] >= quality.ERRORS]
+    m, n = quality.MEASURES, len(rows)
+    mean = [sum(r[2][k] for r in rows) / n for k in range(m)]
+    scale = [math.sqrt(sum((r[2][k] - mean[k]) ** 2 for r in rows) / n) + 1e-6 for k in range(m)]
+    scaled = lambda dense: [min(max((v - a) / s, -6), 6) for v, a, s in zip(dense, mean, scale)]
+    place = {h: k for k, h in enumerate(sorted(used))}
+    data = [(g, [place[h] for h in hs if h in place], scaled(d)) for g, hs, d in rows]
+    a, b = len(place), len(place) + m
+    start = [math.log(s / (1 - s)) for s in (min(max(sum(g <= k for g, _, _ in data) / n, 1e-3), 1 - 1e-3) for k in (0, 1))]
+    p = [0.0] * b + [start[0], math.log(max(start[1] - start[0], 0.05))]
+    f, s = [0.0] * len(p), [0.0] * len(p)
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    for t in range(1, quality.STEPS + 1):
+        theta = [p[b], p[b] + math.exp(p[b + 1])]
+        grad = [0.0] * a + [1e-4 * v for v in p[a:b]] + [0.0, 0.0]
+        for g, at, x in data:
+            score = sum(p[k] for k in at) + sum(v * w for v, w in zip(x, p[a:b]))
+            cdf = [0.0, sigmoid(theta[0] - score), sigmoid(theta[1] - score), 1.0]
+            pdf = [c * (1 - c) for c in cdf]
+            prob = max(cdf[g + 1] - cdf[g], 1e-9)
+            down = (pdf[g + 1] - pdf[g]) / prob / n
+            for k in at:
+                grad[k] += down
+            for k, v in enumerate(x):
+                grad[a + k] += down * v
+            for k, sign in ((g, -1), (g - 1, 1)):
+                if 0 <= k < 2:
+                    each = sign * pdf[k + 1] / prob / n
+                    grad[b] += each
+                    if k == 1:
+                        grad[b + 1] += each * math.exp(p[b + 1])
+        for k, v in enumerate(grad):
+            f[k], s[k] = 0.9 * f[k] + 0.1 * v, 0.99 * s[k] + 0.01 * v * v
+            rate = quality.RATE / (math.sqrt(s[k] / (1 - 0.99**t)) + 1e-6)
+            p[k] -= rate * f[k] / (1 - 0.9**t)
+            if k < a:
+                p[k] = math.copysign(max(abs(p[k]) - min(rate * quality.SPARSITY / math.sqrt(n), 0.02), 0), p[k])
+    theta = [p[b], p[b] + math.exp(p[b + 1])]
+    out = []
+    for i, t in docs:
+        hs, dense = seen(t or "")
+        score = sum(p[place[h]] for h in hs if h in place) + sum(v * w for v, w in zip(scaled(dense), p[a:b]))
+        above = [1 - sigmoid(v - score) for v in theta]
+        out.append((i, sum(above), above[1]))
+    return out
+
+
+def test_quality_query(spark, tmp_path):
+    """op5 and the pipeline's stage against plain loops."""
+    d = "/root/testdata/sf0.001"
+    labels = [tuple(r) for r in spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality", "toxic").collect()]
+    docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    want = sorted(plain_quality(docs, labels))
+    got = sorted(tuple(r) for r in queries.op5_quality(spark, d).select("doc_id", "expected_grade", "tail_probability", "keep").collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1:3] for g in got], [w[1:] for w in want], atol=1e-6)
+    assert all(g[3] == (g[2] >= quality.LEAST) for g in got)
+    kept = corpus_pipeline.keep_quality(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [w[0] for w in want if w[2] >= quality.LEAST]
+    clash = spark.read.parquet(f"{d}/documents.parquet").withColumn("__grade", F.lit("x"))
+    assert [r["__grade"] for r in quality.graded(clash.limit(3), quality.train(clash, spark.read.parquet(f"{d}/labels.parquet"))).collect()] == ["x"] * 3
+
+
 def test_quality(spark, edge):
     """Held-out accuracy: fitted on one half of the labels, judged on the other."""
     d = "/root/testdata/sf0.01"
