@@ -95,6 +95,22 @@ def binary_array(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
+#: Keys that are broadcast at most; more are joined by shuffling.
+FEW = 200_000
+
+
+def with_several(rows: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """rows(key, text, ...) with `several`: does the key have different texts? And whether any key has."""
+    found = rows.select(key, F.xxhash64("text").alias("t")).where(F.col(key).isNotNull()).groupBy(key).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    found = stored(found.where("lo != hi").select(key, F.lit(True).alias("several")), "several")
+    n = found.count()
+    if not n:
+        discard(found)
+        return rows.withColumn("several", F.lit(False)), False
+    joined = rows.join(F.broadcast(found) if n <= FEW else found, key, "left")
+    return joined.withColumn("several", F.coalesce("several", F.lit(False))), True
+
+
 # --- tokenizing ---------------------------------------------------------------------------------------------
 
 #: White space as the tokenizers' regular expressions see it. Fixed values.

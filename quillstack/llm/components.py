@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,9 +50,11 @@ def components(links: DataFrame) -> DataFrame:
         state = tuple(now)
         # Large star: the greater neighbours of each node hang on the least of it and its neighbours.
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Written first, so that the join below is one that Spark splits where a hub has a large share of the links.
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a != b").distinct()
         # Small star: each node and its lesser neighbours hang on the least of those.
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).where("a != b").union(least.select("m", "b"))
-        edges = stored(small.distinct(), "links")
+        lowest = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(lowest, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).where("a != b").union(lowest.select("m", "b"))
+        before, edges = edges, stored(small.distinct(), "links")
+        discard(before, least)

@@ -10,11 +10,13 @@ ROWS places make a band key. Documents with equal sets are one class; classes th
 candidates: in STARS rounds each is verified on the full sets with the class of its band that meets most others and
 was not the centre before, where both are not yet in one component; then, for bands whose members are still in
 several components, the pairs across components that an exact bound on their overlap leaves. Nothing is capped. A pair at similarity
-0.75 shares no band with probability (1 - 0.75^5)^51 = 1e-6.
+0.75 shares no band with probability (1 - 0.75^5)^51 = 1e-6. The members of a large group meet its centre in parts
+of at most PART pairs.
 
 Defined results: words are lower-cased in A-Z only; null and wordless texts have an empty set, no links and
-their own component; rows with equal doc_id are one node; a row with null doc_id has no links and a null
-component (kept); an empty table gives no rows; other columns are ignored.
+their own component; rows with equal doc_id are one node, whatever their texts, linked by the links of each; a row with
+null doc_id has no links and a null component (kept); an empty table gives no rows; texts of any length are read whole;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE_A, BASE_B, arrow_rows, mix, rolling, stored, word_hashes
+from .common import BASE_A, BASE_B, FEW, arrow_rows, discard, mix, rolling, stored, with_several, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -36,8 +38,12 @@ SIZE, BANDS, ROWS = 256, 51, 5
 STARS = 3
 #: A shingle of at most so many classes is rare.
 RARE = 8
+#: Pairs of one centre that are verified together.
+PART = 500
+#: Documents with candidates whose numbers are broadcast to the texts; more are joined by shuffling.
+NODES = 2_000_000
 
-_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
+_SIGNED = "node long, doc_id long, several boolean, n_shingles long, digest binary, bands array<long>"
 GROUPED = "doc_id long, n_shingles long, component_id long, kept boolean"
 
 
@@ -87,7 +93,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(signatures(sets))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1), pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), bands], names=["doc_id", "n_shingles", "digest", "bands"])
+            same = [part.column(k) for k in ("node", "doc_id", "several")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), bands], names=["node", "doc_id", "several", "n_shingles", "digest", "bands"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], numerator: int, denominator: int) -> Iterator[pa.RecordBatch]:
@@ -106,10 +113,14 @@ def _verify(batches: Iterator[pa.RecordBatch], numerator: int, denominator: int)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, numerator: int = 75, denominator: int = 100) -> DataFrame:
-    """Of pairs(a, b) those whose full sets are similar enough."""
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, numerator, denominator), "a long, b long")
+    """Of stored pairs(a, b) those whose full sets in texts(node, text) are similar enough; an `a` of many pairs is dealt out."""
+    # Pairs of numbers go to the texts where they are few enough; beyond that both are shuffled.
+    light = F.broadcast if pairs.count() <= FEW else (lambda df: df)
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    dealt = pairs.join(sizes.where("parts > 1"), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(light(sizes), "a").select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(light(dealt), "b")
+    return right.join(left, ["a", "part"]).select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, numerator, denominator), "a long, b long")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +128,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (b.slice(at, 50) for at in range(0, b.num_rows, 50)):
             sets = [shingle_set(t) for t in part.column("text").to_pylist()]
             tokens = np.concatenate([np.empty(0, np.uint64), *sets]).astype(np.int64)
-            ids = np.repeat(np.array(part.column("b").to_pylist(), np.int64), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.int64())], names=["b", "token"])
+            rows = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows) for k in "bpm"), pa.array(tokens, pa.int64())], names=["b", "p", "m", "token"])
 
 
 def _across(pool: DataFrame, classes: DataFrame, texts: DataFrame, numerator: int) -> DataFrame:
@@ -130,13 +141,17 @@ def _across(pool: DataFrame, classes: DataFrame, texts: DataFrame, numerator: in
     no candidates. So no link is lost, and a passage common to thousands makes no pairs of documents that differ.
     """
     kept = pool.groupBy("band").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi")
-    known = classes.select(F.col("rep").alias("b"), F.col("size").alias("m"), "bands")
+    sizes = classes.select(F.col("rep").alias("b"), F.col("size").alias("m"))
     left = stored(pool.join(kept.select("band", (F.col("n") > RARE).alias("crowded")), "band").select("band", "crowded", "b", "p"), "mixed")
-    at_stake = stored(left.where("crowded").groupBy("b").agg(F.first("p").alias("p")).join(known.drop("bands"), "b"), "at-stake")
-    whole = at_stake.select("b").join(texts.select(F.col("doc_id").alias("b"), "text"), "b").dropDuplicates(["b"])
-    tokens = stored(whole.mapInArrow(_tokens, "b long, token long"), "tokens")
-    rare = stored(tokens.join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where(f"held <= {RARE}"), "token"), "rare")
+    at_stake = stored(left.where("crowded").groupBy("b").agg(F.first("p").alias("p")).join(sizes, "b"), "at-stake")
+    whole = at_stake.join(texts.select(F.col("node").alias("b"), "text"), "b").dropDuplicates(["b"]).select("b", "p", "m", "text")
+    tokens = stored(whole.mapInArrow(_tokens, "b long, p long, m long, token long"), "tokens")
+    held = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    rare = stored(tokens.withColumn("held", held).where(f"held <= {RARE}"), "rare")
     reach = rare.groupBy("b").agg(F.count(F.lit(1)).alias("rare"))
+    # Classes with so many shingles that aren't rare that they may link without a rare one in common.
+    common = at_stake.join(reach, "b", "left").withColumn("r", F.col("m") - F.coalesce("rare", F.lit(0))).where(f"100 * r >= {numerator} * m")
+    common = stored(common.join(classes.select(F.col("rep").alias("b"), "bands"), "b").select("b", "m", "r", "bands"), "common")
 
     def pairs(of: DataFrame, on: str, condition: str) -> DataFrame:
         x, y = (of.select([F.col(c).alias(c if c == on else c + side) for c in of.columns]) for side in "xy")
@@ -145,9 +160,9 @@ def _across(pool: DataFrame, classes: DataFrame, texts: DataFrame, numerator: in
 
     # Each pair comes from the first band that it shares.
     first = "element_at(bandsx, cast(array_position(zip_with(bandsx, bandsy, (v, w) -> v = w), true) as int)) = band"
-    few = pairs(left.where("not crowded").select("band", "b", "p").join(known.drop("bands"), "b"), "band", "true")
-    sharing = pairs(rare.where("held > 1").select("token", "b").join(at_stake, "b"), "token", "true")
-    could = left.where("crowded").select("band", "b", "p").join(known, "b").join(reach, "b", "left").withColumn("r", F.col("m") - F.coalesce("rare", F.lit(0))).drop("rare").where(f"100 * r >= {numerator} * m")
+    few = pairs(left.where("not crowded").select("band", "b", "p").join(sizes, "b"), "band", "true")
+    sharing = pairs(rare.where("held > 1").select("token", "b", "p", "m"), "token", "true")
+    could = left.where("crowded").select("band", "b", "p").join(common, "b")
     many = pairs(could, "band", f"{100 + numerator} * least(rx, ry) >= {numerator} * (mx + my) and {first}")
     return few.union(sharing).union(many).distinct()
 
@@ -156,17 +171,29 @@ def near_duplicates(docs: DataFrame, numerator: int = 75) -> DataFrame:
     """Per document its set's size, its component's least doc_id, and whether it is that document."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = stored(texts.mapInArrow(_sign, _SIGNED), "signatures")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows, repeated = with_several(rows, "doc_id")
+    # A doc_id with several texts has a node for each; they are linked below.
+    rows = rows.withColumn("node", F.when(F.col("several"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")))
+    signed = stored(rows.select("node", "doc_id", "several", "text").mapInArrow(_sign, _SIGNED), "signatures")
     linkable = signed.where("digest is not null and doc_id is not null")
-    classes = stored(linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.first("n_shingles").alias("size")), "classes")
+    classes = stored(
+        linkable.groupBy("digest").agg(F.min("node").alias("rep"), F.min("doc_id").alias("doc"), F.min_by("bands", "node").alias("bands"), F.first("n_shingles").alias("size")), "classes"
+    )
     members = classes.select("rep", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     inside = stored(members.join(sizes, "band"), "bands")
+    # The texts that verification reads: one of each class that meets another, kept by themselves.
+    nodes = stored(inside.select(F.col("rep").alias("node")).distinct(), "nodes")
+    texts = stored(rows.select("node", "text").join(F.broadcast(nodes) if nodes.count() <= NODES else nodes, "node", "left_semi"), "texts")
     # A document that meets many others stands near the middle of its group: it is tested first.
     score = inside.groupBy("rep").agg(F.sum("n").alias("score"))
     pool = inside.join(score, "rep").select("band", F.col("rep").alias("b"), "score", F.col("rep").alias("p"), F.lit(None).cast("struct<score: long, neg: long>").alias("below"))
     links = spark.createDataFrame([], "a long, b long")
+    old = [inside, nodes, texts]
+    if repeated:
+        own = linkable.where("several").select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
+        links = stored(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a != rep").select("a", F.col("rep").alias("b")), "links")
     place = F.struct("score", (-F.col("b")).alias("neg"))
     for _ in range(STARS):
         fresh = F.when(F.col("below").isNull() | (place < F.col("below")), F.struct("score", (-F.col("b")).alias("neg"), "p"))
@@ -174,15 +201,29 @@ def near_duplicates(docs: DataFrame, numerator: int = 75) -> DataFrame:
         pool = stored(pool.drop("below").join(middle, "band").select("band", "b", "score", "p", "c"), "pool")
         if pool.isEmpty():
             break
-        centre = -F.col("c.neg")
-        pairs = pool.where("p != c.p").select(F.least("b", centre).alias("a"), F.greatest("b", centre).alias("b")).distinct()
+        pairs = stored(pool.where("p != c.p").select((-F.col("c.neg")).alias("a"), "b").distinct(), "pairs")
         links = stored(links.union(verified(pairs, texts, numerator)), "links")
+        old += [pool, pairs, links]
         labels = components(links).select(F.col("id").alias("b"), "component_id")
         pool = pool.join(labels, "b", "left").select("band", "b", "score", F.coalesce("component_id", "b").alias("p"), F.struct("c.score", "c.neg").alias("below"))
     else:
-        links = stored(links.union(verified(_across(pool, classes, texts, numerator), texts, numerator)), "links")
-    labels = components(links)
-    known = classes.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component"))
-    # Rows that share a doc_id are one node, whatever their texts.
-    out = signed.select("doc_id", "n_shingles", "digest").join(known, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("component", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+        pairs = stored(_across(pool, classes, texts, numerator), "pairs")
+        links = stored(links.union(verified(pairs, texts, numerator)), "links")
+        old += [pairs, links]
+    labels = components(links).withColumnRenamed("id", "rep")
+    discard(*old)
+    known = classes.join(labels, "rep", "left").select("digest", "doc", F.coalesce("component_id", "rep").alias("component"))
+    if repeated:
+        # Nodes of repeated doc_ids have other numbers: a component goes by its least doc_id.
+        known = stored(known, "known")
+        least = known.groupBy("component").agg(F.min("doc").alias("least"))
+        known = known.join(least, "component").select("digest", "doc", F.col("least").alias("component"))
+    known = known.select("digest", "component")
+    plain, wordless = signed.select("doc_id", "several", "n_shingles", "digest").where("digest is not null"), signed.where("digest is null")
+    out = plain.join(known, "digest", "left").select("doc_id", "several", "n_shingles", "component")
+    out = out.union(wordless.select("doc_id", "several", "n_shingles", F.lit(None).cast("long")))
+    if repeated:
+        of_doc = out.where("several").groupBy(F.col("doc_id").alias("d")).agg(F.min("component").alias("c"))
+        out = out.join(of_doc, F.col("several") & (F.col("doc_id") == F.col("d")), "left").withColumn("component", F.coalesce("component", "c"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

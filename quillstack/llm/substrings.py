@@ -28,15 +28,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_A, arrow_rows, binary_array, partitions, rolling, stored
+from .common import BASE_A, arrow_rows, binary_array, partitions, rolling, stored, with_several
 
 WIDTH = 13
 MER = 4
 #: Words in a stretch that a task sorts by itself; bytes of packed text that a bucket should get, and most it may.
 STRETCH_WORDS = 700_000
 BUCKET_BYTES, BUCKET_MOST = 8 << 20, 32 << 20
-#: Repeated doc_ids with different texts that are broadcast; more are joined by shuffling.
-FEW = 200_000
 LAST = (1 << 63) - 1
 
 #: nth tells the texts of a repeated doc_id apart and is 0 for all others.
@@ -276,12 +274,7 @@ def _remove(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.R
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, doc (never null) and nth, the hash of the text where a doc_id has several texts, else 0."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
-    tkey = F.xxhash64("text")
-    several = stored(rows.select("doc", tkey.alias("t")).groupBy("doc").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo != hi").select("doc", F.lit(True).alias("several")), "several")
-    n = several.count()
-    if not n:
-        return rows.withColumn("nth", F.lit(0).cast("long"))
-    return rows.join(F.broadcast(several) if n <= FEW else several, "doc", "left").withColumn("nth", F.when(F.col("several"), tkey).otherwise(F.lit(0))).drop("several")
+    return with_several(rows, "doc")[0].withColumn("nth", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0))).drop("several")
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
