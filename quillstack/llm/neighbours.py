@@ -12,7 +12,9 @@ gathers in one task. Scores are computed on the original vectors in double preci
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part (as queries neither); ties go to the smaller vec_id; rows that repeat a vec_id are one candidate with their
 greatest score, and a query's own vec_id is none; fewer than k rows come back only if the lists read hold
-fewer others; an empty table gives no rows; other columns are ignored.
+fewer others; an empty table gives no rows; vectors of doubles stay doubles, other numbers become doubles; other columns
+are ignored, whatever their names. Lists stop growing in number at SAMPLE / 8, so beyond SAMPLE / 8 * LIST vectors they
+grow in length.
 """
 
 from __future__ import annotations
@@ -168,10 +170,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int | Non
     arrow_rows(spark)
 
     def valid(df: DataFrame) -> DataFrame:
-        df = df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null")
+        df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>") if double else "embedding").where("vec_id is not null and embedding is not null")
         finite = F.forall("embedding", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
         return df.where(finite & F.exists("embedding", lambda v: v != 0))
 
+    double = vectors.schema["embedding"].dataType.simpleString() != "array<float>"
+    placed_as = f"list int, vec_id long, embedding array<{'double' if double else 'float'}>"
     rows = valid(vectors)
     sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
@@ -182,8 +186,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int | Non
     points = np.stack(sample["embedding"].to_list()).astype(np.float64)
     centers = centroids(points, lists or max(1, min(sizes["n"] // LIST, len(points) // 8)))
     links = graph(centers)
-    placed = rows.mapInArrow(lambda it: _route(it, centers, links, COPIES, 1, BOUNDARY), "list int, vec_id long, embedding array<float>")
-    probes = asked.mapInArrow(lambda it: _route(it, centers, links, MOST_LISTS, LEAST_LISTS, PRUNE), "list int, vec_id long, embedding array<float>")
+    placed = rows.mapInArrow(lambda it: _route(it, centers, links, COPIES, 1, BOUNDARY), placed_as)
+    probes = asked.mapInArrow(lambda it: _route(it, centers, links, MOST_LISTS, LEAST_LISTS, PRUNE), placed_as)
     # One row per list: bounded by the sample.
     blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
     grid = F.broadcast(blocks(placed.select("list"), "vb").join(blocks(probes.select("list"), "qb"), "list"))

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from quillstack.llm import decontaminate, near_dups, queries, substrings
+from quillstack.llm import common, decontaminate, near_dups, queries, substrings
 
 from .conftest import DOCS, edge_rows, prose
 
@@ -71,7 +71,7 @@ def test_hot_bucket(spark, monkeypatch):
     """Buckets that are too large go on by whole windows, repeated doc_ids by a shuffle; the result is the same."""
     monkeypatch.setattr(substrings, "BUCKET_MOST", 2000)
     monkeypatch.setattr(substrings, "STRETCH_WORDS", 500)
-    monkeypatch.setattr(substrings, "FEW", 0)
+    monkeypatch.setattr(common, "FEW", 0)
     rng = random.Random(9)
     rows = heavy() + [(3, prose(rng, 80), "", "", 1), (3, prose(rng, 80) + " " + heavy()[0][1], "", "", 1)]
     rows += [(300 + k, " ".join(w for n in range(40) for w in ("a b c d", f"v{rng.randrange(50)}")), "", "", 1) for k in range(40)]
@@ -141,6 +141,24 @@ def test_near_dups(spark, edge):
     assert got == brute_groups(rows)
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_repeated_ids(spark, monkeypatch, few):
+    """Rows that share a doc_id are one node with the links of all its texts; hot centres are dealt out."""
+    monkeypatch.setattr(common, "FEW", few)
+    monkeypatch.setattr(near_dups, "FEW", few)
+    monkeypatch.setattr(near_dups, "NODES", few)
+    monkeypatch.setattr(near_dups, "PART", 3)
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(3, b), (5, a), (5, b), (9, a), (8, c), (5, ""), (2, None), (2, c + " more"), (4, c), (20, ""), (20, "x y"), (20, "x y"), (None, a), (None, b)]
+    rows += [(100 + k, f"{a} tail {k}") for k in range(12)]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, node string, several int").repartition(3)
+    got = sorted((tuple(r) for r in near_dups.near_duplicates(df).collect()), key=str)
+    want = brute_groups(rows)
+    assert [g for g in got if g[0] is not None] == [w for w in want if w[0] is not None]
+    assert {g[2:] for g in got if g[0] is None} == {(None, True)} and {w[2] for w in want if w[0] == 5} == {3}
+
+
 def near_family(n=40):
     """Copies of one text with one to five words changed: some are linked to each other, some only nearly."""
     rng = random.Random(3)
@@ -208,13 +226,15 @@ def brute_hits(rows, items, width=13):
     return sorted(out, key=str)
 
 
-def test_contamination(spark, edge):
+@pytest.mark.parametrize("block", [100_000, 1])
+def test_contamination(spark, edge, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
     rng = random.Random(2)
     items = [(1, prose(rng, 30)), (2, prose(rng, 14)), (3, "KK ß-É"), (4, None), (5, ""), (6, "one Two"), (7, prose(rng, 30)), (12, "same " * 20), (13, "SAME " * 16), (None, prose(rng, 20)), (3, "one two")]
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
     rows = edge_rows() + [(500 + k, f"{prose(rng, k)} {items[k % 3 * 3][1]} {prose(rng, 9 * k)}", None, "s", 0) for k in range(12)]
     rows += [(600, "kK, ß;É", "", "", 1), (601, "the\x00ONE--two" + " same" * 40, "", "", 1), (602, " ".join(items[0][1].split()[3:17]) + " " + " ".join(items[0][1].split()[5:25]), "", "", 1), (603, items[9][1], "", "", 1)]
-    df = spark.createDataFrame(rows, DOCS).withColumnRenamed("lang", "n_hit")
+    df = spark.createDataFrame(rows, DOCS).withColumnRenamed("lang", "n_hit").withColumnRenamed("source", "__hit").withColumnRenamed("n_chars", "__DOC")
     got = decontaminate.contamination(df, bench).select("doc_id", *decontaminate.RESULT)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_hits(rows, items)
     assert decontaminate.contamination(edge.limit(0), bench).count() == 0

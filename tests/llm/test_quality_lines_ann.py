@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ import corpus_pipeline
 from quillstack.llm import line_chunks, neighbours, quality, queries
 
 from .conftest import DOCS, edge_rows, prose
+from .test_dedup import brute_groups, brute_hits
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,14 +46,17 @@ def brute_removed(spark_rows):
     return sorted(out, key=str)
 
 
-def test_remove_chunks(spark, edge):
+@pytest.mark.parametrize("few, stretch", [(200_000, 8 << 20), (0, 300)])
+def test_remove_chunks(spark, edge, monkeypatch, few, stretch):
+    monkeypatch.setattr(line_chunks, "FEW", few)
+    monkeypatch.setattr(line_chunks, "STRETCH_BYTES", stretch)
     rng = random.Random(4)
     block = "\n".join(prose(rng, 8).replace("\n", " ") for _ in range(12))
     rows = [(k, "\n".join([prose(rng, 6) for _ in range(k % 4)] + [block] * (1 + k % 2) + [prose(rng, 5)]), "x", "y", 1) for k in range(40)] + [(7, "\n \n\t\n\n", "", "", 1), (8, "\n \n\t\n\n", "", "", 1), (None, block, "", "", 1)] + edge_rows()
-    df = spark.createDataFrame(rows, DOCS).repartition(4).withColumnRenamed("lang", "n_lines").cache()
+    df = spark.createDataFrame(rows, DOCS).repartition(4).withColumnRenamed("lang", "n_lines").withColumnRenamed("source", "__marks").cache()
     keyed = df.selectExpr("doc_id", "xxhash64(text) k", "text").collect()
     got = line_chunks.remove_chunks(df)
-    assert got.columns == ["doc_id", "text", "source", "n_chars", "n_lines", "n_removed"]
+    assert got.columns == ["doc_id", "text", "__marks", "n_chars", "n_lines", "n_removed"]
     assert sorted((tuple(r) for r in got.select("doc_id", "text", "n_lines", "n_removed").collect()), key=str) == brute_removed(keyed)
     assert line_chunks.remove_chunks(edge.limit(0)).count() == 0
 
@@ -217,6 +222,8 @@ def test_neighbours(spark):
     got = sorted(tuple(r) for r in neighbours.nearest(df, df.where("vec_id % 50 = 0")).collect())
     want = brute_nearest(rows)
     assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-12)
+    wide = neighbours.nearest(df.selectExpr("vec_id", "cast(embedding as array<double>) embedding", "label list"), df.where("vec_id % 50 = 0"))
+    assert sorted(tuple(r)[:3] for r in wide.collect()) == [w[:3] for w in want]
     few = df.where("vec_id in (0, 1, 2)")
     assert neighbours.nearest(few, few.where("vec_id = 0")).count() == 2
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
@@ -276,6 +283,59 @@ def test_stage_edges(spark, edge, name):
     assert out.count() >= 1 and stage(spark, edge.limit(0), SF).count() == 0
 
 
+def stage_rows():
+    """The edge rows with n_chars, near copies, a doc_id with two texts, repeated rows, and passages of the benchmark."""
+    rng = random.Random(21)
+    text = prose(rng, 80)
+    rows = [(i, t, lang, str(k), 7) for k, (i, t, lang, *_) in enumerate(edge_rows())]
+    return rows + [(40, text, "x", "a", 1), (41, text + " end", "x", "b", 1), (42, prose(rng, 30), "x", "c", 1), (42, text + " too", "x", "d", 1), (43, prose(rng, 40), "x", "e", 1), (43, prose(rng, 40), "x", "f", 1), (44, text, "x", "g", 1), (44, text, "x", "h", 1)]
+
+
+def test_near_duplicates_stage(spark):
+    """Against brute force; a kept doc_id keeps all its texts, repeated rows stay once."""
+    rows = stage_rows()
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS).withColumnRenamed("lang", "kept"), SF)
+    assert got.columns == ["doc_id", "text", "kept", "source", "n_chars"]
+    kept = {g[0] for g in brute_groups(rows) if g[0] is not None and g[3]}
+    want = {(r[0], r[1]) for r in rows if r[0] in kept}
+    found = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert sorted(map(str, found)) == sorted(map(str, [*want, *((r[0], r[1]) for r in rows if r[0] is None)]))
+    assert {43, 40} <= kept and 41 not in kept
+
+
+def test_decontamination_stage(spark):
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    passage = max((t for _, t in items), key=len)
+    rows = stage_rows() + [(50, passage, "x", "y", 1), (51, passage[: len(passage) // 2] + " and " + prose(random.Random(1), 20), "x", "y", 1), (51, "short", "x", "y", 1), (52, prose(random.Random(2), 900) + " " + passage, "x", "y", 1)]
+    got = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, DOCS).withColumnRenamed("lang", "__hit"), SF)
+    judged = {(r[0], r[1]): brute_hits([r], items)[0][5] for r in rows}
+    assert sorted((str((r["doc_id"], r["text"])) for r in got.collect())) == sorted(str((r[0], r[1])) for r in rows if not judged[r[0], r[1]])
+    assert judged[50, passage] and not judged[51, "short"]
+
+
+def test_packing_stage(spark):
+    """All ids of all rows lie in one piece each, in order, in sequences without gaps."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = stage_rows()
+    want = sorted((str(r[0]), zlib.crc32(np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4").tobytes()), len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1) for r in rows)
+    got = [r.asDict() for r in corpus_pipeline.pack(spark, spark.createDataFrame(rows, DOCS), SF).collect()]
+    whole = sorted((str(g["doc_id"]), g["ids_crc32"], g["doc_tokens"]) for g in got if g["length"] == g["doc_tokens"])
+    assert set(whole) <= set(want) and sum(g["length"] for g in got) == sum(w[2] for w in want)
+    sequences = {}
+    for g in got:
+        sequences.setdefault(g["sequence_id"], []).append((g["offset"], g["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
 def test_line_query(spark):
     keyed = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "xxhash64(text) k", "text").collect()
     want = [(d, n, g, hashlib.sha256((t or "").encode()).hexdigest()) for d, t, n, g in brute_removed(keyed)]
