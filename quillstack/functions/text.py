@@ -31,15 +31,18 @@ def odt_escape(c: Column) -> Column:
     return _replaced(html_escape(c), (" ", "<text:s/>"), ("\t", "<text:tab/>"))
 
 
-#: Characters that stand for those which occur in what stands for others. Noncharacters: no text holds them.
+#: Noncharacters that stand, for a moment, for characters which occur in what stands for others.
 _MARKS = {k: chr(0xFDD0 + n) for n, k in enumerate("\\{}[]~^`#$%&_")}
 
 
 def latex_quote(c: Column) -> Column:
-    """One pass over the characters: those that occur in replacements go by way of noncharacters."""
-    c = _replaced(c, *_MARKS.items())
-    c = _replaced(c, *((k, v) for k, v in LATEX.items() if k not in _MARKS))
-    return _replaced(c, *((m, LATEX[k]) for k, m in _MARKS.items()))
+    """Special characters as LaTeX writes them. A text that holds the noncharacters itself goes character by character."""
+    fast = F.translate(c, "".join(_MARKS), "".join(_MARKS.values()))
+    fast = _replaced(fast, *((k, v) for k, v in LATEX.items() if k not in _MARKS))
+    fast = _replaced(fast, *((m, LATEX[k]) for k, m in _MARKS.items()))
+    table = F.create_map(*(F.lit(x) for pair in LATEX.items() for x in pair))
+    slow = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    return F.when(c.rlike("[\ufdd0-\ufddf]"), slow).otherwise(fast)
 
 
 def anchor_slug(c: Column) -> Column:
@@ -69,14 +72,36 @@ def parse_boolean(c: Column) -> Column:
     return F.when(F.lower(c) == "yes", True).when(F.lower(c) == "no", False)
 
 
+#: Where a multiline value is cut: at semicolons behind an even number of backslashes. Fixed value.
+_CUT = r"(?<!\\)(?:\\\\)*;"
+
+
 def parse_multiline(c: Column) -> Column:
-    """Parts between semicolons without spaces around them."""
-    return F.transform(F.split(c, ";"), lambda p: F.regexp_replace(p, "^ +| +$", ""))
+    """Parts between semicolons that no backslash escapes, without space around them, doubled backslashes as one."""
+    return F.transform(F.split(c, _CUT, -1), lambda p: F.replace(F.regexp_replace(p, r"^\s+|\s+$", ""), F.lit("\\\\"), F.lit("\\")))
+
+
+def print_multiline(parts: Column) -> Column:
+    """Parts with backslashes doubled and semicolons escaped, between semicolons."""
+    return F.array_join(F.transform(parts, lambda p: _replaced(p, ("\\", "\\\\"), (";", "\\;"))), "; ")
+
+
+def print_boolean(c: Column) -> Column:
+    return F.when(c, "yes").when(~c, "no")
+
+
+def print_date(supplied: Column, roundtrip: bool = True) -> Column:
+    """The date in its canonical form; today stays today on a round trip."""
+    return F.when(supplied == "today", "today").otherwise(parse_date(supplied)) if roundtrip else parse_date(supplied)
 
 
 def parse_date(c: Column) -> Column:
-    """A year or integer as it stands, an ISO date in its full form, else null."""
-    return F.when(c.rlike("^-?[1-9][0-9]+$"), c).when(c.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(c, "y-M-d").cast("string"))
+    """Today, a year or integer as it stands, an ISO date in its full form, else null."""
+    return (
+        F.when(F.lower(c) == "today", F.current_date().cast("string"))
+        .when(c.rlike("^-?[1-9][0-9]+$"), c)
+        .when(c.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(c, "y-M-d").cast("string"))
+    )
 
 
 def emu(c: Column, unit: str) -> Column:
@@ -90,8 +115,3 @@ def snapped_width(percent: Column) -> Column:
 
 def figure_class(percent: Column) -> Column:
     return F.when(percent >= 100, "fullwidth").when(percent > 75, "block").otherwise("inline")
-
-
-def in_text_citation(author: Column, n_authors: Column, year: Column) -> Column:
-    name = F.when(n_authors == 0, "Anon").when(n_authors > 1, F.concat(author, F.lit(" et al."))).otherwise(author)
-    return F.concat(F.lit("("), name, F.lit(", "), F.coalesce(year.cast("string"), F.lit("n.d.")), F.lit(")"))

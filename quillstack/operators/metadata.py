@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from quillstack.functions.kernels import edit_distance
 from quillstack.functions.lang import code
-from quillstack.functions.markup import chosen, default_label
+from quillstack.functions.markup import chosen, default_label, digest
 from quillstack.functions.names import person
-from quillstack.functions.text import parse_date, parse_multiline
+from quillstack.functions.text import de_unicode, parse_date, parse_multiline, print_multiline
+from quillstack.session import discard, light, stored
 
 
 def with_defaults(supplied: DataFrame, schema: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,15 +23,18 @@ def missing(schema: DataFrame, supplied: DataFrame, keys: list[str]) -> DataFram
     return schema.join(supplied, keys, "left_anti")
 
 
-def suggestions(words: DataFrame, known: DataFrame, word: str, name: str) -> DataFrame:
-    """The nearest known name for each word, where it is within min(3, half the word); ties by name.
+def suggestions(words: DataFrame, known: DataFrame, word: str, name: str, order: str | None = None) -> DataFrame:
+    """(word, suggestion, distance): the nearest known name of each word that has one within min(3, half the name).
 
-    `known` is a schema's field list: fixed in size, so it may be broadcast.
+    Characters outside ASCII count as #; ties go to the first by `order` (the name itself if not given). Names can only
+    be so near if their lengths are, so words and names are joined on the length.
     """
-    pairs = words.join(F.broadcast(known)).withColumn("distance", edit_distance(F.col(word), F.col(name)))
-    best = pairs.groupBy(word).agg(F.min(F.struct("distance", name)).alias("best"))
-    near = F.col("best.distance") <= F.least(F.lit(3), F.length(word) / 2)
-    return best.select(word, F.when(near, F.col(f"best.{name}")).alias("suggestion"), F.col("best.distance").alias("distance"))
+    keyed = known.select(F.col(name).alias("_name"), F.col(order or name).alias("_order"))
+    keyed = light(keyed.withColumn("_length", F.explode(F.sequence(F.length("_name") - 3, F.length("_name") + 3))))
+    pairs = words.select(word, de_unicode(F.col(word)).alias("_plain")).distinct().withColumn("_length", F.length("_plain")).join(keyed, "_length")
+    pairs = pairs.withColumn("distance", edit_distance(F.col("_plain"), F.col("_name")))
+    best = pairs.groupBy(word).agg(F.min(F.struct("distance", "_order", "_name")).alias("best")).select(word, F.col("best._name").alias("suggestion"), F.col("best.distance").alias("distance"))
+    return best.where(F.col("distance") <= F.least(F.lit(3), F.floor(F.length("suggestion") / 2)))
 
 
 def contributors(rows: DataFrame, doc: str, element: str, names: str) -> DataFrame:
@@ -68,7 +72,7 @@ def _parsed(kind, value):
         F.when(kind == "boolean", F.when(F.lower(value).isin("yes", "no"), F.lower(value)))
         .when(kind == "date", F.when(F.lower(value) == "today", "today").otherwise(parse_date(value)))
         .when(kind == "lang", code(value))
-        .when(kind == "multiline", F.array_join(parse_multiline(value), "; "))
+        .when(kind == "multiline", print_multiline(parse_multiline(value)))
         .otherwise(value)
     )
 
@@ -78,13 +82,14 @@ def validated(supplied: DataFrame, schema: DataFrame, doc: str) -> DataFrame:
 
     supplied(doc, name, value) may have fields that the schema has not: those are errors, with the nearest name where one
     is near. A value that is not of its field's type is an error and the default stands in. A required field but
-    title that is missing is an error. `schema` is a canonical schema: fixed in size, so it may be broadcast.
+    title that is missing is an error. `schema` is a canonical schema.
     """
-    fields = F.broadcast(schema)
+    fields = light(schema)
     documents = supplied.select(doc).distinct()
     wanted = documents.crossJoin(fields.where("name is not null"))  # documents times a schema's fixed number of fields
     unknown = supplied.join(fields, "name", "left_anti").select("name").distinct()
     near = suggestions(unknown.withColumnRenamed("name", "word"), schema.select(F.col("name").alias("known")), "word", "known")
+    near = light(unknown.join(near.select(F.col("word").alias("name"), "suggestion"), "name", "left"))
     known = wanted.join(supplied, [doc, "name"], "left")
     parsed = _parsed(F.col("type"), F.col("value"))
     bad = F.col("value").isNotNull() & parsed.isNull()
@@ -92,15 +97,34 @@ def validated(supplied: DataFrame, schema: DataFrame, doc: str) -> DataFrame:
     error = F.when(bad, F.concat(F.lit("Not a valid "), F.col("type"), F.lit(" format"))).when(lacking, F.concat(F.lit("Missing required field '"), F.col("name"), F.lit("'")))
     checked = known.select(doc, "name", F.col("value").alias("supplied"), F.coalesce(parsed, "default").alias("canonical"), error.alias("error"))
     hint = F.when(F.col("suggestion").isNotNull(), F.concat(F.lit(" (did you mean '"), F.col("suggestion"), F.lit("'?)"))).otherwise("")
-    strange = supplied.join(near.select(F.col("word").alias("name"), "suggestion"), "name")
+    strange = supplied.join(near, "name")
     lost = F.when(F.col("name").isin("title", "subtitle"), F.concat(F.lit("This style has no "), F.col("name"))).otherwise(F.concat(F.lit("Unexpected field '"), F.col("name"), F.lit("'"), hint))
     return checked.unionByName(strange.select(doc, "name", F.col("value").alias("supplied"), F.lit(None).cast("string").alias("canonical"), lost.alias("error")))
 
 
+def raw_items(fields: DataFrame) -> DataFrame:
+    """The fields as the document supplied them."""
+    return fields.where("supplied is not null")
+
+
+def items(fields: DataFrame) -> DataFrame:
+    """The fields that have no error, or one and a value that stands in."""
+    return fields.where("error is null or canonical is not null")
+
+
+def has_errors(fields: DataFrame, doc: str) -> DataFrame:
+    return fields.groupBy(doc).agg(F.bool_or(F.col("error").isNotNull()).alias("has_errors"))
+
+
+def overridden(fields: DataFrame, new: DataFrame, doc: str) -> DataFrame:
+    """The metadata of documents for which `new` has any are those of `new` alone."""
+    return fields.join(new.select(doc).distinct(), doc, "left_anti").unionByName(new)
+
+
 def meta_digest(fields: DataFrame, doc: str) -> DataFrame:
-    """A digest of each document's field names and values, whatever their order."""
-    pairs = F.array_sort(F.collect_list(F.concat_ws("=", "name", "canonical")))
-    return fields.groupBy(doc).agg(F.sha2(F.array_join(pairs, "\n"), 256).alias("digest"))
+    """A digest of the names of each document's items in order of name."""
+    names = F.array_join(F.array_sort(F.collect_list("name")), "")
+    return items(fields).groupBy(doc).agg(digest(names).alias("digest"))
 
 
 #: Dublin Core element of each field, in output order, and the roles of contributors. Fixed values.
@@ -127,15 +151,19 @@ def dublin_core(fields: DataFrame, doc: str) -> DataFrame:
 
 
 def inherited(styles: DataFrame, key: list[str], parent: str, value: str) -> DataFrame:
-    """styles with each value from the nearest ancestor that has one. A recursive query: beyond a million steps in all the
-    session's spark.sql.cteRecursionRowLimit has to be raised."""
-    ident = key[-1]
-    scope = key[:-1]
-    on = " AND ".join([*(f"s.{k} = w.{k}" for k in scope), f"s.{ident} = w.up"])
-    names = ", ".join(key)
-    walk = f"""WITH RECURSIVE w AS (
-        SELECT {names}, {parent} AS up, {value} AS found FROM {{styles}}
-        UNION ALL
-        SELECT {", ".join(f"w.{k}" for k in key)}, s.{parent}, s.{value} FROM w JOIN {{styles}} s ON {on} WHERE w.found IS NULL)
-        SELECT {names}, max(found) AS {value} FROM w GROUP BY {names}"""
-    return styles.sparkSession.sql(walk, styles=styles)
+    """styles(key, value) with each value from the nearest ancestor that has one; null in a ring without any.
+
+    Pointer doubling: each round looks twice as far up, and no chain is longer than the table, so the number of rounds is
+    the logarithm of the rows; what is still open then goes in rings.
+    """
+    scope, ident = key[:-1], key[-1]
+    state = stored(styles.select(*key, F.col(parent).alias("_up"), F.col(value).alias("_found")), "styles")
+    for _ in range(max(1, state.count()).bit_length() + 1):
+        if state.where("_found is null and _up is not null").isEmpty():
+            break
+        above = state.select(*scope, F.col(ident).alias("_up"), F.col("_up").alias("_next"), F.col("_found").alias("_theirs"))
+        joined = state.join(above, [*scope, "_up"], "left")
+        open_ = F.col("_found").isNull()
+        before, state = state, stored(joined.select(*key, F.when(open_, F.col("_next")).alias("_up"), F.coalesce("_found", "_theirs").alias("_found")), "styles")
+        discard(before)
+    return state.select(*key, F.col("_found").alias(value))

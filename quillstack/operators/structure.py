@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstack.functions.text import truncated
+
 LEVELS = 6
 
 
@@ -83,9 +85,28 @@ def block_runs(rows: DataFrame, doc: str, order: str, kind: str, block: Column)
 
 
 def arguments(rows: DataFrame, doc: str, order: str, command: Column, text: str) -> DataFrame:
-    """Each command row with the texts of all rows after it up to the document's end."""
-    w = _ordered(doc, order).rowsBetween(1, Window.unboundedFollowing)
-    return rows.withColumn("arguments", F.collect_list(text).over(w)).where(command)
+    """Each command row with the range of the rows after it up to the document's end (first, last; null without any)
+    and how many of them have a text: a range, as the texts themselves would be held once for each command."""
+    w = _ordered(doc, order)
+    after = w.rowsBetween(1, Window.unboundedFollowing)
+    return rows.withColumn("first", F.lead(order).over(w)).withColumn("last", F.last(order).over(after)).withColumn("n_arguments", F.count(text).over(after)).where(command)
+
+
+def problems(rows: DataFrame, doc: str, order: str, kind: str, message: Column, args: list[Column]) -> DataFrame:
+    """Diagnostics (doc, seq, id, kind, body): places {} of the message take the arguments, each cut to 50 characters and
+    on one line; ids count the problems of each document in order."""
+    body = message
+    for value in args:
+        shown = F.regexp_replace(truncated(value.cast("string")), "\n", " ")
+        at = F.instr(body, "{}")
+        body = F.when(at > 0, F.concat(F.substr(body, F.lit(1), at - 1), F.coalesce(shown, F.lit("")), F.substr(body, at + 2))).otherwise(body)
+    seq = F.row_number().over(_ordered(doc, order)).cast("long")
+    return rows.select(doc, seq.alias("seq"), F.concat(F.lit("docproblem"), seq.cast("string")).alias("id"), F.col(kind).alias("kind"), body.alias("body"))
+
+
+def first_missing(cited: DataFrame, known: DataFrame, doc: str, key: str) -> DataFrame:
+    """The least cited key of each document that no entry of `known` has."""
+    return cited.join(known, key, "left_anti").groupBy(doc).agg(F.min(key).alias(key))
 
 
 def free_numbers(rows: DataFrame, group: str, number: str) -> DataFrame:

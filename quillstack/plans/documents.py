@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstack.functions import text as T
+from quillstack.functions import citations as C
 from quillstack.operators import metadata as M
 from quillstack.operators import structure as S
 from quillstack.session import table
@@ -85,12 +85,14 @@ def meta_required_missing(spark, d):
     return M.missing(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id"), ["doc_id"])
 
 
-@query("""WITH w AS (SELECT DISTINCT lower(substr(p_name, 1, 8)) AS word FROM part), k AS (SELECT DISTINCT lower(r_name) AS name FROM region),
-p AS (SELECT word, min(struct_pack(distance := damerau_levenshtein(word, name), name := name)) AS best FROM w CROSS JOIN k GROUP BY word)
-SELECT word, CASE WHEN best.distance <= least(3, length(word) / 2.0) THEN best.name END AS suggestion, CAST(best.distance AS BIGINT) AS distance FROM p""")
+@query(r"""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part UNION ALL SELECT lower(substr(n_name, 2, 1) || substr(n_name, 1, 1) || substr(n_name, 3)) FROM nation)),
+p AS (SELECT word, min(struct_pack(d := damerau_levenshtein(regexp_replace(word, '[^\x00-\x7F]', '#', 'g'), lower(n_name)), o := n_nationkey, n := lower(n_name))) AS best FROM w CROSS JOIN nation GROUP BY word)
+SELECT word, best.n AS suggestion, CAST(best.d AS BIGINT) AS distance FROM p WHERE best.d <= least(3, length(best.n) // 2)""")
 def meta_did_you_mean(spark, d):
-    words = table(spark, d, "part").select(F.lower(F.substring("p_name", 1, 8)).alias("word")).distinct()
-    return M.suggestions(words, table(spark, d, "region").select(F.lower("r_name").alias("name")).distinct(), "word", "name")
+    nation = table(spark, d, "nation")
+    swapped = F.lower(F.concat(F.substring("n_name", 2, 1), F.substring("n_name", 1, 1), F.substr("n_name", F.lit(3))))
+    words = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).union(nation.select(swapped))
+    return M.suggestions(words, nation.select(F.lower("n_name").alias("name"), "n_nationkey"), "word", "name", "n_nationkey")
 
 
 @query("""WITH a AS (SELECT n_regionkey AS doc, string_agg(n_name, ' ; ' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1),
@@ -113,7 +115,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (SELECT l
 def cite_format(spark, d):
     entries = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     cited = entries.join(table(spark, d, "lineitem").select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
-    return cited.select(F.col("o_orderkey").alias("key"), T.in_text_citation(F.col("c_name"), F.col("o_orderkey") % 3, F.year("o_orderdate")).alias("cited"))
+    return cited.select(F.col("o_orderkey").alias("key"), C.in_text(F.lit("autocite"), F.col("c_name"), F.col("o_orderkey") % 3, F.year("o_orderdate"), F.lit("")).alias("cited"))
 
 
 @query("SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -125,12 +127,3 @@ def cite_missing(spark, d):
 def rel_lookup(spark, d):
     lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
     return lines.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left").select("l_orderkey", "l_linenumber", "p_name", "s_name")
-
-
-@query("SELECT page_id, CAST(row_number() OVER (PARTITION BY host ORDER BY page_id) AS BIGINT) AS n, host, 'item-' || regexp_replace(url, '[^A-Za-z0-9]+', '-', 'g') AS item_id FROM (SELECT *, regexp_extract(url, '^https?://([^/]*)', 1) AS host FROM pages)")
-def opf_manifest(spark, d):
-    from pyspark.sql import Window
-
-    pages = table(spark, d, "pages").withColumn("host", F.regexp_extract("url", "^https?://([^/]*)", 1))
-    n = F.row_number().over(Window.partitionBy("host").orderBy("page_id")).cast("long")
-    return pages.select("page_id", n.alias("n"), "host", F.concat(F.lit("item-"), T.anchor_slug(F.col("url"))).alias("item_id"))

@@ -9,6 +9,7 @@ from quillstack.functions import citations as C
 from quillstack.functions import lang as L
 from quillstack.functions import markup as K
 from quillstack.functions import names as N
+from quillstack.functions import text as T
 from quillstack.operators import metadata as M
 from quillstack.operators import structure as S
 from quillstack.session import table
@@ -18,11 +19,11 @@ from . import conversion
 from .documents import turns
 from .texts import query, scalar
 
-scalar("code_language_guess", K.code_language, "CASE WHEN text IS NULL THEN NULL " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in K.CODE_LANGUAGES) + " ELSE 'bash' END")
+scalar("code_language_guess", K.code_language, "CASE WHEN text IS NULL THEN NULL " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, _, p in K.CODE_LANGUAGES) + " ELSE 'bash' END")
 scalar("data_url", lambda c: K.data_url(F.lit("text/plain"), F.encode(c, "UTF-8")), "'data:text/plain;base64,' || base64(encode(text))")
 scalar("data_url_roundtrip", lambda c: F.decode(K.parse_data_url(K.data_url(F.lit("text/plain"), F.encode(c, "UTF-8")))["data"], "UTF-8"), "text")
 scalar("cdata_wrap", K.cdata, "CASE WHEN contains(text, '<') OR contains(text, '&') THEN '/*<![CDATA[*/' || text || '/*]]>*/' ELSE text END")
-scalar("macro_names", lambda c: K.macro_name(F.regexp_replace(F.lower(F.substring(c, 1, 12)), "[^a-z]+", "-"), "doc"), "'doc' || split_part(k, '-', 1) || array_to_string(list_transform(string_split(k, '-')[2:], lambda p: upper(p[1:1]) || p[2:]), '') AS out FROM (SELECT doc_id, regexp_replace(lower(text[1:12]), '[^a-z]+', '-', 'g') AS k FROM documents) --")
+scalar("macro_names", lambda c: K.macro_name(F.regexp_replace(F.lower(c), "[^a-z]+", "-"), "doc"), "'doc' || split_part(k, '-', 1) || array_to_string(list_transform(string_split(k, '-')[2:], lambda p: upper(p[1:1]) || p[2:]), '') AS out FROM (SELECT doc_id, regexp_replace(lower(text), '[^a-z]+', '-', 'g') AS k FROM documents) --")
 scalar("front_matter", lambda c: markdown.front_matter(F.concat(F.lit("---\ntitle: x\n---\n"), c))["body"], "text")
 
 
@@ -161,10 +162,10 @@ def unsectionize(spark, d):
     return turns(spark, d).where("level is null or level != 1").select("conv_id", "turn", "role", "text")
 
 
-@query("SELECT c.conv_id, c.turn, CAST((SELECT count(*) FROM conversations n WHERE n.conv_id = c.conv_id AND n.turn > c.turn AND n.text IS NOT NULL) AS BIGINT) AS n_arguments FROM conversations c WHERE role = 'user'")
+@query("SELECT c.conv_id, c.turn, (SELECT min(n.turn) FROM conversations n WHERE n.conv_id = c.conv_id AND n.turn > c.turn) AS first, (SELECT max(n.turn) FROM conversations n WHERE n.conv_id = c.conv_id AND n.turn > c.turn) AS last, CAST((SELECT count(*) FROM conversations n WHERE n.conv_id = c.conv_id AND n.turn > c.turn AND n.text IS NOT NULL) AS BIGINT) AS n_arguments FROM conversations c WHERE role = 'user'")
 def command_arguments(spark, d):
     found = S.arguments(turns(spark, d), "conv_id", "turn", F.col("role") == "user", "text")
-    return found.select("conv_id", "turn", F.size("arguments").cast("long").alias("n_arguments"))
+    return found.select("conv_id", "turn", "first", "last", F.col("n_arguments"))
 
 
 @query("SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) = regexp_extract(html, '<title>([^<]*)</title>', 1) AS same FROM pages WHERE html LIKE '%<h1>%' AND html LIKE '%<title>%'")
@@ -200,8 +201,24 @@ def page_contents(spark, d):
     return conversion.toc(table(spark, d, "pages"), "page_id", "html")
 
 
-@query("SELECT page_id, CAST(1 AS BIGINT) AS ord, regexp_extract(url, '^https?://([^/]*)', 1) AS host, 'chapter-1' AS id FROM pages WHERE false UNION ALL SELECT page_id, row_number() OVER (PARTITION BY host ORDER BY page_id), host, 'chapter-' || row_number() OVER (PARTITION BY host ORDER BY page_id) FROM (SELECT page_id, regexp_extract(url, '^https?://([^/]*)', 1) AS host FROM pages)")
-def epub_nav(spark, d):
-    host = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]*)", 1).alias("host"))
-    n = F.row_number().over(Window.partitionBy("host").orderBy("page_id")).cast("long")
-    return host.select("page_id", n.alias("ord"), "host", F.concat(F.lit("chapter-"), n.cast("string")).alias("id"))
+@query("SELECT o_orderkey, 'docproblem' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS id, o_custkey AS doc, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS seq, 'No entry ' || o_orderkey || ' of ' || o_orderpriority AS body FROM orders".replace("SELECT o_orderkey, ", "SELECT "))
+def document_problems(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), "o_orderkey", "o_orderpriority", F.lit("body").alias("kind"))
+    return S.problems(rows, "doc", "o_orderkey", "kind", F.lit("No entry {} of {}"), [F.col("o_orderkey"), F.col("o_orderpriority")]).select("doc", "seq", "id", "body")
+
+
+@query("SELECT o_custkey AS doc, min(o_orderkey) AS key FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1")
+def first_missing_key(spark, d):
+    cited = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("key"))
+    known = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("key"))
+    return S.first_missing(cited, known, "doc", "key")
+
+
+@query(f"WITH {_FIELDS}, u AS (SELECT doc, bool_or(name IN ('autor', 'xyzzyxyzzy') OR (name = 'date' AND value <> '1999-1-2') OR (name = 'draft' AND value <> 'YES') OR (name = 'lang' AND value <> 'de_CH')) OR NOT bool_or(name = 'author') AS has_errors FROM f GROUP BY doc) SELECT doc, has_errors FROM u")
+def meta_any_error(spark, d):
+    fields = [("author", None, True, None, None), ("date", "date", None, None, None), ("draft", "boolean", None, None, None), ("lang", "lang", None, None, None), ("title", None, True, None, None)]
+    schema = M.canonical_schema(spark.createDataFrame(fields, "name string, type string, required boolean, label string, default string"))
+    return M.has_errors(M.validated(_fields(spark, d), schema, "doc"), "doc")
+
+
+scalar("multiline_roundtrip", lambda c: F.array_join(T.parse_multiline(T.print_multiline(F.array(F.replace(c, F.lit(";"), F.lit(",")), F.lit("x")))), "|"), "regexp_replace(replace(text, ';', ','), '^\\s+|\\s+$', '', 'g') || '|x'")

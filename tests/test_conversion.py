@@ -10,6 +10,7 @@ from quillstack.functions import markup as K
 from quillstack.functions import names as N
 from quillstack.functions import text as T
 from quillstack.model import Element as E
+from quillstack.operators import metadata as M
 from quillstack.operators import rewrite as R
 from quillstack.operators import structure as S
 from quillstack.plans import conversion
@@ -41,9 +42,9 @@ def test_deep_tree():
 
 
 def test_splice_and_kill():
-    tree = [E("a", {}, [E("b", {}, ["bold1"])]), E("b", {}, ["bold2"])]
-    assert R.splice(tree, lambda e: e.tag == "b") == [E("a", {}, ["bold1"]), "bold2"]
-    assert R.kill(tree, lambda e: e.tag == "b") == [E("a")]
+    tree = read("<ul><li>one <i>two</i></li></ul><i>three<u>four</u></i>five")
+    assert html.markup(R.splice(tree, lambda e: e.tag == "i")) == "<ul><li>one two</li></ul>three<u>four</u>five"
+    assert html.markup(R.kill(tree, lambda e: e.tag == "i")) == "<ul><li>one </li></ul>five"
 
 
 def test_blank():
@@ -143,25 +144,66 @@ def values(spark, function, *given):
 
 
 def test_people(spark):
-    found = values(spark, N.person, "Ludwig van Beethoven", "van Beethoven, Ludwig", "von Hicks, III, Michael", "Plato", "a, b, c, d", "", None)
+    found = values(spark, N.person, "Maria  de la Cruz Ortega", "de la Cruz, Maria Ana", "zu Guttenberg, Jr, Karl", "Aristotle", "p, q, r, s", "  ", 'Ana "Bo" {Li}', None)
     assert [(p.display_name, p.sort_name) if p else None for p in found] == [
-        ("Ludwig van Beethoven", "van Beethoven, Ludwig"), ("Ludwig van Beethoven", "van Beethoven, Ludwig"), ("Michael von Hicks, III", "von Hicks, III, Michael"), ("Plato", "Plato"), ("a, b, c, d", "a, b, c, d"), ("", ""), None,
+        ("Maria de la Cruz Ortega", "de la Cruz Ortega, Maria"), ("Maria Ana de la Cruz", "de la Cruz, Maria Ana"), ("Karl zu Guttenberg, Jr", "zu Guttenberg, Jr, Karl"), ("Aristotle", "Aristotle"), ("p, q, r, s", "p, q, r, s"), ("", ""), ("Ana Bo Li", "Li, Ana Bo"), None,
     ]
 
 
 def test_citations(spark):
-    assert values(spark, C.cleaned_post, "p.60, pp.99-122, 155", ", more on that on p.60", ",   pp. iv-vii, 100") == ["60, 99–122, 155", "more on that on p.60", "iv–vii, 100"]
-    found = values(spark, C.parsed, "[k:author]", "k]", "[k", " k ")
-    assert [(p.key, p.command, p.error) for p in found] == [("k", "citeauthorp", None), (None, None, "malformed citation, unmatched ]"), (None, None, "malformed citation, unmatched ["), ("k", "textcite", None)]
+    assert values(spark, C.cleaned_post, ", p. 7", "pp. 12 - 15,xx", "p 3 pp. 8--9, 11", ", see p. 4", "p. 5 and 6", "pp.", "", "p. c-d") == ["7", "12–15, xx", "3 8–9, 11", "see p. 4", "p. 5 and 6", "pp.", "", "c–d"]
+    found = values(spark, C.parsed, "[Ab-1:title, p. 2]", "Ab_2:years x", "  [Ab:year ", "Ab]", "[]", ":author", " Ab: note ")
+    assert [(p.key, p.field, p.post, p.command, p.error) for p in found] == [
+        ("Ab-1", "title", "2", "citetitlep", None), ("Ab_2", None, ":years x", "textcite", None), (None, None, None, None, "malformed citation, unmatched ["),
+        (None, None, None, None, "malformed citation, unmatched ]"), (None, None, None, None, "no citation key"), (None, None, None, None, "no citation key"), ("Ab", None, ": note", "textcite", None),
+    ]
+
+
+def test_literals(spark):
+    assert values(spark, T.parse_multiline, "a\\;b ; c", "x;;", "d\\\\e") == [["a\\;b", "c"], ["x", "", ""], ["d\\e"]]
+    assert values(spark, lambda c: T.print_multiline(F.split(c, ",")), "a;b,c\\d") == ["a\\;b; c\\\\d"]
+    assert values(spark, lambda c: T.parse_date(c) == F.current_date().cast("string"), "Today") == [True]
+    assert values(spark, lambda c: T.print_date(c), "today", "1999-1-2") == ["today", "1999-01-02"]
+    assert values(spark, K.document_uuid, "0123456789abcdef0123456789abcdef") == ["urn:uuid:01234567-89ab-5def-8123-456789abcdef"]
+    assert values(spark, K.mime, "a/b.JPG", "x.svg", "x") == ["image/jpeg", "image/svg+xml", None]
+
+
+def test_code_languages(spark):
+    given = ["def f(x):\n  return x", "#include <a.h>", "public class A {", "x = y => { z }", "\\begin{a}", "(defn f [x] x)", "SELECT a FROM b", "<?xml version='1.0'?>", "<p>x</p>", "a { b: c; }", "def f\n  1\nend\n", "ls -l", None]
+    assert values(spark, K.code_language, *given) == ["python", "c", "java", "javascript", "latex", "clojure", "sql", "xml", "html", "css", "ruby", "bash", None]
+
+
+def test_inherited(spark):
+    """Chains of any length, and rings, end."""
+    chain = [(1, k, k - 1 if k else None, "root" if k == 0 else None) for k in range(150)]
+    rows = spark.createDataFrame(chain + [(2, 1, 2, None), (2, 2, 1, None), (2, 3, 2, "own"), (2, 4, 3, None), (2, 5, 99, None)], "doc int, id int, parent int, font string")
+    got = {(r[0], r[1]): r[2] for r in M.inherited(rows, ["doc", "id"], "parent", "font").collect()}
+    assert {v for (d, _), v in got.items() if d == 1} == {"root"} and len(got) == 155
+    assert [got[2, k] for k in range(1, 6)] == [None, None, "own", "own", None]
+
+
+def test_suggestions(spark):
+    known = spark.createDataFrame([("heading", 0), ("leading", 1), ("abc", 2), ("é", 3)], "name string, n int")
+    words = spark.createDataFrame([("eading",), ("headnig",), ("abz",), ("xyz",), ("leadingé",), (None,)], "word string")
+    assert {tuple(r) for r in M.suggestions(words, known, "word", "name", "n").collect()} == {("eading", "heading", 1), ("headnig", "heading", 1), ("abz", "abc", 1), ("leadingé", "leading", 1)}
+
+
+def test_metadata_views(spark):
+    fields = spark.createDataFrame([(1, "a", "x", "x", None), (1, "b", "bad", "no", "e"), (1, "c", "bad", None, "e"), (2, "a", None, "d", None)], "doc int, name string, supplied string, canonical string, error string")
+    names = lambda df: sorted((r["doc"], r["name"]) for r in df.collect())
+    assert names(M.raw_items(fields)) == [(1, "a"), (1, "b"), (1, "c")] and names(M.items(fields)) == [(1, "a"), (1, "b"), (2, "a")]
+    assert {tuple(r) for r in M.has_errors(fields, "doc").collect()} == {(1, True), (2, False)}
+    assert names(M.overridden(fields, fields.where("doc = 2").withColumn("name", F.lit("z")), "doc")) == [(1, "a"), (1, "b"), (1, "c"), (2, "z")]
 
 
 def test_scalars(spark):
-    assert values(spark, K.colour, "#ABC", "red", "rgba(1, 2, 255, 0.5)", "x", None) == ["#aabbcc", "#ff0000", "#0102ff", None, None]
-    assert values(spark, K.url_fix, "HTTP://Ex.ORG/A{b", "no url") == ["HTTP://ex.org/A%7Bb", "no url"]
+    assert values(spark, K.colour, "#ABC", "red", "rgba(1, 2, 255, 0.5)", "rgb(100%, 0%, 50.2%)", "hsl(120, 100%, 25%)", "HSL(-60, 100%, 50%)", "x", None) == ["#aabbcc", "#ff0000", "#0102ff", "#ff0080", "#008000", "#ff00ff", None, None]
+    assert values(spark, K.url_fix, "HTTP://Ex.ORG/A{b", "ftp://User:P@Ex.ORG:21?Q", "no url") == ["HTTP://ex.org/A%7Bb", "ftp://User:P@ex.org:21?Q", "no url"]
     assert values(spark, lambda c: K.macro_name(c, "doc"), "multi-part-name", "name", "Bad") == ["docmultiPartName", "docname", None]
     assert values(spark, L.babel, "de_CH", "en", "zh") == ["ngerman", "american", None]
     assert values(spark, lambda c: L.localised(F.lit("Contents"), c), "de-CH", "ms", "en") == ["Inhalt", "Contents", "Contents"]
     assert values(spark, T.latex_quote, "\\{a}[~\u00a0<_^") == ["{\\textbackslash}\\{a\\}{[}{\\textasciitilde}~{\\textless}\\_\\^{}"]
+    assert values(spark, T.latex_quote, "a\ufdd0b_", "\ufdd8") == ["a\ufdd0b\\_", "\ufdd8"]
     assert values(spark, K.parse_data_url, "data:image/png;base64,AAE=", "http://x")[0].data == b"\x00\x01"
     assert values(spark, lambda c: K.indent(c, 2), "a \n\nb") == ["  a\n\n  b"]
 
