@@ -170,9 +170,10 @@ def command_arguments(spark, d):
 
 @query("SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) = regexp_extract(html, '<title>([^<]*)</title>', 1) AS same FROM pages WHERE html LIKE '%<h1>%' AND html LIKE '%<title>%'")
 def html_title_vs_h1(spark, d):
-    tree = html.nodes(table(spark, d, "pages"))
-    title = html.plain_text(tree, "title").select("doc_id", F.col("text").alias("title"))
-    return html.plain_text(tree, "h1").join(title, "doc_id").select(F.col("doc_id").alias("page_id"), (F.col("text") == F.col("title")).alias("same"))
+    of = lambda tag: F.collect_list(F.when(F.col("tag") == tag, F.col("text")))
+    found = html.element_texts(table(spark, d, "pages"), ["title", "h1"]).groupBy("doc_id").agg(of("title").alias("titles"), of("h1").alias("heads"))
+    pairs = found.select("doc_id", "heads", F.explode("titles").alias("title")).select("doc_id", "title", F.explode("heads").alias("head"))
+    return pairs.select(F.col("doc_id").alias("page_id"), (F.col("head") == F.col("title")).alias("same"))
 
 
 @query(None)
@@ -196,7 +197,7 @@ for _name, _writer in (("convert_html", "html"), ("convert_latex", "tex"), ("con
     _converted(_name, _writer)
 
 
-@query(None)
+@query("SELECT page_id, 0::BIGINT AS ord, 1::BIGINT AS level, 's-1' AS id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1),'&quot;','\"'),'&copy;','©'),'&middot;','·'),'&amp;','&'), '[\n\r\t ]+', ' ', 'g')) AS title FROM pages WHERE html LIKE '%<h1>%'")
 def page_contents(spark, d):
     return conversion.toc(table(spark, d, "pages"), "page_id", "html")
 

@@ -63,12 +63,12 @@ _ENTITIES = "replace(replace(replace(replace({},'&quot;','\"'),'&copy;','©'),'&
 
 @query("SELECT page_id, " + _ENTITIES.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)") + " AS heading FROM pages WHERE html LIKE '%<h1>%'")
 def html_heading_text(spark, d):
-    return html.plain_text(html.nodes(table(spark, d, "pages")), "h1").select(F.col("doc_id").alias("page_id"), F.col("text").alias("heading"))
+    return html.element_texts(table(spark, d, "pages"), ["h1"]).select(F.col("doc_id").alias("page_id"), F.col("text").alias("heading"))
 
 
 @query("SELECT page_id, " + _ENTITIES.format("regexp_extract(html, '<title>([^<]*)</title>', 1)") + " AS title FROM pages WHERE html LIKE '%<title>%'")
 def html_title_text(spark, d):
-    return html.plain_text(html.nodes(table(spark, d, "pages")), "title").select(F.col("doc_id").alias("page_id"), F.col("text").alias("title"))
+    return html.element_texts(table(spark, d, "pages"), ["title"]).select(F.col("doc_id").alias("page_id"), F.col("text").alias("title"))
 
 
 @query("WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS found FROM pages) SELECT page_id, CAST(i AS BIGINT) AS n, " + _ENTITIES.format("found[i]") + " AS href FROM (SELECT page_id, found, unnest(range(1, len(found) + 1)) AS i FROM l)")

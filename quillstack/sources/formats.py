@@ -20,10 +20,15 @@ def by_name(path: Column) -> Column:
     return chosen(F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)), EXTENSIONS)
 
 
+_ODT = b"application/vnd.oasis.opendocument.text"
+
+
 def is_odt(content: Column) -> Column:
-    """A zip whose first member is the uncompressed mimetype of a text document."""
-    head = F.decode(F.substring(content, 1, 120), "ISO-8859-1")
-    return head.startswith("PK\x03\x04") & head.contains("mimetypeapplication/vnd.oasis.opendocument.text")
+    """A zip whose first member is the uncompressed mimetype of a text document, behind an extra field of any length."""
+    byte = lambda at: F.coalesce(F.conv(F.hex(F.substring(content, at, 1)), 16, 10).cast("int"), F.lit(0))
+    behind = 39 + byte(29) + 256 * byte(30)
+    named = (F.substring(content, 1, 4) == F.lit(b"PK\x03\x04")) & (F.substring(content, 31, 8) == F.lit(b"mimetype"))
+    return named & (F.substr(content, behind, F.lit(len(_ODT))) == F.lit(_ODT))
 
 
 def is_docx(content: Column) -> Column:
@@ -46,5 +51,5 @@ def is_docx(content: Column) -> Column:
 
 def sniffed(content: Column) -> Column:
     """odt, docx, html (the first character that isn't white space is <), else markdown; null stays null."""
-    head = F.decode(F.substring(content, 1, 512), "ISO-8859-1")
+    head = F.decode(content, "ISO-8859-1")
     return F.when(content.isNull(), None).when(is_odt(content), "odt").when(is_docx(content), "docx").when(head.rlike(r"^(\xEF\xBB\xBF)?\s*<"), "html").otherwise("markdown")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstack.session import arrow_rows
+
 NODES = "doc_id long, pre int, last int, parent int, depth int, pos int, kind string, tag string, text string, attrs map<string,string>"
 
 #: Elements without content, elements whose text is no text, elements that end a paragraph. Fixed values.
@@ -90,6 +92,7 @@ def parse(html: str) -> list[list]:
 
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """The node table of pages; a null html has no nodes."""
+    arrow_rows(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "pre", "last", "parent", "depth", "pos", "kind", "tag", "text", "attrs"]
@@ -102,8 +105,28 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     return pages.select(F.col(key).cast("long"), html).mapInArrow(run, NODES)
 
 
+def element_texts(pages: DataFrame, tags: list[str], key: str = "page_id", html: str = "html") -> DataFrame:
+    """(doc_id, pre, tag, text): the text below each element of these tags, in one pass over the pages, without a join."""
+    arrow_rows(pages.sparkSession)
+
+    def of(text: str) -> Iterator[tuple[int, str, str]]:
+        rows = parse(text)
+        for pre, last, _, _, _, _, tag, _, _ in rows:
+            if tag in tags:
+                yield pre, tag, "".join(r[7] for r in rows[pre : last + 1] if r[7])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int32(), pa.string(), pa.string()]
+        for b in batches:
+            rows = [(doc, *r) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in of(text or "")]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "pre", "tag", "text"])
+
+    return pages.select(F.col(key).cast("long"), html).mapInArrow(run, "doc_id long, pre int, tag string, text string")
+
+
 def plain_text(tree: DataFrame, tag: str) -> DataFrame:
-    """Per element of this tag: doc_id, pre and the text below it in order. A range join on one document's nodes."""
+    """The same from a node table: a range join on one document's nodes. Where the pages are at hand, element_texts reads them once."""
     tops = tree.where(F.col("tag") == tag).select("doc_id", F.col("pre").alias("top"), F.col("last").alias("stop"))
     below = tree.where("kind = 'text'").select("doc_id", "pre", "text").join(tops, "doc_id", "right").where("pre is null or pre between top and stop")
     text: Column = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda r: r.text), "")

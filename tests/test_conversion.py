@@ -120,6 +120,30 @@ def test_packages_round_trip(spark, write, back, kind):
     assert [r[0] for r in rows.select(formats.sniffed(F.col("content"))).collect()] == [kind, "html", "markdown", None]
 
 
+def test_deep_packages():
+    """Lists of any depth keep their kinds, marks of any depth are written, tables keep rows and cells, spaces are not cut."""
+    lists = "<ol><li>x" * 15 + "</li></ol>" * 15
+    for write, back in ((packages.odt, package_source.odt), (packages.docx, package_source.docx)):
+        assert html.markup(R.tidy(back(write(read(lists))))) == html.markup(R.tidy(read(lists)))
+        table = R.rewritten(back(write(read("<table><tr><td>a</td><td><b>b</b></td></tr><tr><td>c</td><td>d</td></tr></table>"))), [R.tidy, R.unwrap])
+        rows = [n for n in table[0].kids if n.tag == "tr"]
+        assert [[R.plain_text([c]) for c in r.kids] for r in rows] == [["a", "b"], ["c", "d"]]
+    deep = read("<p>" + "<i><b>" * 3000 + "y")
+    assert R.plain_text(package_source.docx(packages.docx(deep))) == "y"
+    assert R.plain_text(package_source.odt(packages.odt(read("<p>a" + " " * 20_000 + "b")))) == "a" + " " * 20_000 + "b"
+
+
+def test_files(spark, tmp_path):
+    """A folder of files of all formats; a broken one says so and the others are converted."""
+    for name, data in (("a.odt", packages.odt(read("<h1>A</h1>"))), ("b", packages.docx(read("<p>B</p>"))), ("c.html", b" " * 900 + b"<p>C</p>"), ("d", b" " * 900 + b"<p>D</p>"), ("e.md", b"# E"), ("f.docx", b"broken")):
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"][-1 if "." not in r["path"].rsplit("/", 1)[1] else -6:].rsplit("/", 1)[-1]: (r["format"], r["output"] and bytes(r["output"]).decode(), r["error"] is None) for r in conversion.files(spark, str(tmp_path), "text").collect()}
+    assert got == {"a.odt": ("odt", "A", True), "b": ("docx", "B", True), "c.html": ("html", "C", True), "d": ("html", "D", True), "e.md": ("markdown", "E", True), "f.docx": ("docx", None, False)}
+    rows = spark.createDataFrame([(1, bytearray(b"broken")), (2, bytearray(packages.docx(read("<p>x"))))], "page_id long, content binary")
+    out = {r["page_id"]: (r["output"] is None, r["error"] is None) for r in conversion.converted(rows, "page_id", "content", "docx", "text").collect()}
+    assert out == {1: (True, False), 2: (False, True)}
+
+
 def test_names_of_formats(spark):
     rows = spark.createDataFrame([("a/b.DOCX",), ("x.markdown",), ("x.pdf",), ("x",)], "path string")
     assert [r[0] for r in rows.select(formats.by_name(F.col("path"))).collect()] == ["docx", "markdown", None, None]
