@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import re
-import shutil
-import tempfile
-import uuid
 from array import array
 
 import numpy as np
@@ -16,59 +12,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes in an Arrow batch, the same for all operators: long texts make a batch of 10,000 rows too large for a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 500, 64 << 20
+from quillstack.session import FEW, arrow_rows, discard, drop_path, stored, work_dir
 
-def _path(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def work_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share; it goes when the application ends.
-
-    Where the setting is absent (tests in local mode) a temporary folder of this process is used; on a
-    cluster a machine's own folder would lose data, so that is an error.
-    """
-    context = spark.sparkContext
-    if not hasattr(context, "_quillstack_work"):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = tempfile.mkdtemp(prefix="quillstack-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-        run = f"{base.rstrip('/')}/quillstack-{uuid.uuid4().hex}"
-        path, store = _path(spark, run)
-        store.mkdirs(path)
-        store.deleteOnExit(path)
-        context._quillstack_work = run
-    return f"{context._quillstack_work}/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the shared folder and read back: cuts the lineage and survives lost executors."""
-    path = work_dir(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._stored_in = path
-    return back
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more."""
-    for df in tables:
-        drop_path(df.sparkSession, df._stored_in)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    p, store = _path(spark, path)
-    store.delete(p, True)
-
-
-def arrow_rows(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+__all__ = ["FEW", "arrow_rows", "discard", "drop_path", "stored", "work_dir"]
 
 
 def partitions(spark: SparkSession, size: int = 0, each: int = 64 << 20) -> int:
@@ -95,10 +41,6 @@ def binary_array(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
-#: Keys that are broadcast at most; more are joined by shuffling.
-FEW = 200_000
-
-
 def with_several(rows: DataFrame, key: str) -> tuple[DataFrame, bool]:
     """rows(key, text, ...) with `several`: does the key have different texts? And whether any key has."""
     found = rows.select(key, F.xxhash64("text").alias("t")).where(F.col(key).isNotNull()).groupBy(key).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
