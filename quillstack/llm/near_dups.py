@@ -9,7 +9,7 @@ after two or three steps for usual texts. Places agree with probability equal to
 ROWS places make a band key. Documents with equal sets are one class; classes that share a band key are
 candidates: in STARS rounds each is verified on the full sets with the class of its band that meets most others and
 was not the centre before, where both are not yet in one component; then, for bands whose members are still in
-several components, the pairs across components that an exact bound on their overlap leaves. Nothing is capped. A pair at similarity
+several components, the pairs across components that an exact bound on their overlap, by rare shingles, leaves. Nothing is capped. A pair at similarity
 0.75 shares no band with probability (1 - 0.75^5)^51 = 1e-6. The members of a large group meet its centre in parts
 of at most PART pairs.
 
@@ -135,36 +135,38 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(pool: DataFrame, classes: DataFrame, texts: DataFrame, numerator: int) -> DataFrame:
     """Candidates (a, b) across components among the classes of pool(band, b, p), p being b's component.
 
-    In a band of at most RARE classes every pair is one. In a larger band, a shingle is rare if at most RARE of the
-    classes still in question have it. Two classes that share a rare shingle are joined on it. Two that share none
-    have no more in common than either has shingles that aren't rare; where that is too little for a link, they are
-    no candidates. So no link is lost, and a passage common to thousands makes no pairs of documents that differ.
+    A shingle is rare if at most RARE of the classes still in question have it. What two classes have in common is
+    the rare shingles that both have, counted in a join on them, and at most as many others as either has. Pairs for which
+    this bound is too little for a link are no candidates; those without a rare shingle in common are met by band. So no
+    link is lost, and a passage common to thousands makes no pairs of documents that differ.
     """
-    kept = pool.groupBy("band").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi")
+    kept = pool.groupBy("band").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo != hi")
+    left = stored(pool.join(kept.select("band"), "band").select("band", "b", "p"), "mixed")
     sizes = classes.select(F.col("rep").alias("b"), F.col("size").alias("m"))
-    left = stored(pool.join(kept.select("band", (F.col("n") > RARE).alias("crowded")), "band").select("band", "crowded", "b", "p"), "mixed")
-    at_stake = stored(left.where("crowded").groupBy("b").agg(F.first("p").alias("p")).join(sizes, "b"), "at-stake")
+    at_stake = stored(left.groupBy("b").agg(F.first("p").alias("p")).join(sizes, "b"), "at-stake")
     whole = at_stake.join(texts.select(F.col("node").alias("b"), "text"), "b").dropDuplicates(["b"]).select("b", "p", "m", "text")
     tokens = stored(whole.mapInArrow(_tokens, "b long, p long, m long, token long"), "tokens")
     held = F.count(F.lit(1)).over(Window.partitionBy("token"))
     rare = stored(tokens.withColumn("held", held).where(f"held <= {RARE}"), "rare")
     reach = rare.groupBy("b").agg(F.count(F.lit(1)).alias("rare"))
-    # Classes with so many shingles that aren't rare that they may link without a rare one in common.
-    common = at_stake.join(reach, "b", "left").withColumn("r", F.col("m") - F.coalesce("rare", F.lit(0))).where(f"100 * r >= {numerator} * m")
-    common = stored(common.join(classes.select(F.col("rep").alias("b"), "bands"), "b").select("b", "m", "r", "bands"), "common")
+    reach = at_stake.join(reach, "b", "left").withColumn("r", F.col("m") - F.coalesce("rare", F.lit(0))).select("b", "p", "m", "r")
+    reach = stored(reach, "reach")
 
-    def pairs(of: DataFrame, on: str, condition: str) -> DataFrame:
+    def pairs(of: DataFrame, on: str) -> DataFrame:
         x, y = (of.select([F.col(c).alias(c if c == on else c + side) for c in of.columns]) for side in "xy")
-        fits = f"bx < by and px != py and 100 * least(mx, my) >= {numerator} * greatest(mx, my)"
-        return x.join(y, on).where(f"{fits} and {condition}").select(F.col("bx").alias("a"), F.col("by").alias("b"))
+        return x.join(y, on).where(f"bx < by and px != py and 100 * least(mx, my) >= {numerator} * greatest(mx, my)")
 
+    enough = f"{100 + numerator} * ({{}} + least(rx, ry)) >= {numerator} * (mx + my)"
+    sharing = pairs(rare.where("held > 1").select("token", "b", "p", "m"), "token").groupBy(F.col("bx").alias("a"), F.col("by").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    known = [reach.select(F.col("b").alias(of), F.col("m").alias("m" + side), F.col("r").alias("r" + side)) for of, side in (("a", "x"), ("b", "y"))]
+    sharing = stored(sharing, "sharing").join(known[0], "a").join(known[1], "b").where(enough.format("shared")).select("a", "b")
+    # Classes with so many shingles that aren't rare that they may link without a rare one in common.
+    common = reach.where(f"100 * r >= {numerator} * m").join(classes.select(F.col("rep").alias("b"), "bands"), "b").drop("p")
+    could = stored(left.join(common, "b"), "common")
     # Each pair comes from the first band that it shares.
     first = "element_at(bandsx, cast(array_position(zip_with(bandsx, bandsy, (v, w) -> v = w), true) as int)) = band"
-    few = pairs(left.where("not crowded").select("band", "b", "p").join(sizes, "b"), "band", "true")
-    sharing = pairs(rare.where("held > 1").select("token", "b", "p", "m"), "token", "true")
-    could = left.where("crowded").select("band", "b", "p").join(common, "b")
-    many = pairs(could, "band", f"{100 + numerator} * least(rx, ry) >= {numerator} * (mx + my) and {first}")
-    return few.union(sharing).union(many).distinct()
+    many = pairs(could, "band").where(f"{enough.format(0)} and {first}").select(F.col("bx").alias("a"), F.col("by").alias("b"))
+    return sharing.union(many).distinct()
 
 
 def near_duplicates(docs: DataFrame, numerator: int = 75) -> DataFrame:
