@@ -65,12 +65,17 @@ def colour(c: Column) -> Column:
     )
 
 
+def percent_encoded(c: Column) -> Column:
+    """Braces, brackets and the like as %XX."""
+    for mark in '{}[]^\\"|':
+        c = F.replace(c, F.lit(mark), F.lit(f"%{ord(mark):X}"))
+    return c
+
+
 def url_fix(c: Column) -> Column:
     """Host in lower case, users as they are; braces, brackets and the like behind it as %XX."""
     whole = r"^([A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?)([^/?#@]*)([\s\S]*)$"
-    rest = F.regexp_extract(c, whole, 3)
-    for mark in '{}[]^\\"|':
-        rest = F.replace(rest, F.lit(mark), F.lit(f"%{ord(mark):X}"))
+    rest = percent_encoded(F.regexp_extract(c, whole, 3))
     return F.when(c.rlike(whole), F.concat(F.regexp_extract(c, whole, 1), F.lower(F.regexp_extract(c, whole, 2)), rest)).otherwise(c)
 
 

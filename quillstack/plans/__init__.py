@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, markup, texts  # noqa: F401
+from . import attributes, documents, markup, texts  # noqa: F401
 
 
 def queries() -> dict:
