@@ -12,9 +12,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.session import FEW, arrow_rows, discard, drop_path, stored, work_dir
+from quillstack.session import FEW, arrow_rows, discard, drop_path, light, stored, work_dir
 
-__all__ = ["FEW", "arrow_rows", "discard", "drop_path", "stored", "work_dir"]
+__all__ = ["FEW", "arrow_rows", "discard", "drop_path", "light", "stored", "work_dir"]
 
 
 def partitions(spark: SparkSession, size: int = 0, each: int = 64 << 20) -> int:

@@ -22,14 +22,14 @@ other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE_A, BASE_B, FEW, arrow_rows, discard, mix, rolling, stored, with_several, word_hashes
+from .common import BASE_A, BASE_B, FEW, arrow_rows, discard, light, mix, rolling, stored, with_several, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -132,8 +132,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows) for k in "bpm"), pa.array(tokens, pa.int64())], names=["b", "p", "m", "token"])
 
 
-def _across(pool: DataFrame, classes: DataFrame, texts: DataFrame, numerator: int) -> DataFrame:
-    """Candidates (a, b) across components among the classes of pool(band, b, p), p being b's component.
+def _across(pool: DataFrame, classes: DataFrame, texts: DataFrame, numerator: int, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Candidates (a, b) across components among the classes of pool(band, b, p), p being b's component; near() marks a table of bands for its join.
 
     A shingle is rare if at most RARE of the classes still in question have it. What two classes have in common is
     the rare shingles that both have, counted in a join on them, and at most as many others as either has. Pairs for which
@@ -141,7 +141,7 @@ def _across(pool: DataFrame, classes: DataFrame, texts: DataFrame, numerator: in
     link is lost, and a passage common to thousands makes no pairs of documents that differ.
     """
     kept = pool.groupBy("band").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo != hi")
-    left = stored(pool.join(kept.select("band"), "band").select("band", "b", "p"), "mixed")
+    left = stored(pool.join(near(kept.select("band")), "band").select("band", "b", "p"), "mixed")
     sizes = classes.select(F.col("rep").alias("b"), F.col("size").alias("m"))
     at_stake = stored(left.groupBy("b").agg(F.first("p").alias("p")).join(sizes, "b"), "at-stake")
     whole = at_stake.join(texts.select(F.col("node").alias("b"), "text"), "b").dropDuplicates(["b"]).select("b", "p", "m", "text")
@@ -185,13 +185,16 @@ def near_duplicates(docs: DataFrame, numerator: int = 75) -> DataFrame:
     members = classes.select("rep", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     inside = stored(members.join(sizes, "band"), "bands")
-    # The texts that verification reads: one of each class that meets another, kept by themselves.
-    nodes = stored(inside.select(F.col("rep").alias("node")).distinct(), "nodes")
-    texts = stored(rows.select("node", "text").join(F.broadcast(nodes) if nodes.count() <= NODES else nodes, "node", "left_semi"), "texts")
     # A document that meets many others stands near the middle of its group: it is tested first.
-    score = inside.groupBy("rep").agg(F.sum("n").alias("score"))
-    pool = inside.join(score, "rep").select("band", F.col("rep").alias("b"), "score", F.col("rep").alias("p"), F.lit(None).cast("struct<score: long, neg: long>").alias("below"))
-    links = spark.createDataFrame([], "a long, b long")
+    nodes = stored(inside.groupBy("rep").agg(F.sum("n").alias("score")), "nodes")
+    # The texts that verification reads: one of each class that meets another, kept by themselves.
+    met = nodes.select(F.col("rep").alias("node"))
+    texts = stored(rows.select("node", "text").join(F.broadcast(met) if nodes.count() <= NODES else met, "node", "left_semi"), "texts")
+    # Few bands are joined by their middles, not by dealing the members by band: a crowded band stays spread.
+    bands = inside.agg(F.sum(1 / F.col("n"))).first()[0] or 0
+    near = F.broadcast if bands <= FEW else (lambda df: df)
+    pool = inside.join(light(nodes), "rep").select("band", F.col("rep").alias("b"), "score", F.col("rep").alias("p"), F.lit(None).cast("struct<score: long, neg: long>").alias("below"))
+    links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     old = [inside, nodes, texts]
     if repeated:
         own = linkable.where("several").select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
@@ -200,7 +203,7 @@ def near_duplicates(docs: DataFrame, numerator: int = 75) -> DataFrame:
     for _ in range(STARS):
         fresh = F.when(F.col("below").isNull() | (place < F.col("below")), F.struct("score", (-F.col("b")).alias("neg"), "p"))
         middle = pool.groupBy("band").agg(F.max(fresh).alias("c"), F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo != hi and c is not null").select("band", "c")
-        pool = stored(pool.drop("below").join(middle, "band").select("band", "b", "score", "p", "c"), "pool")
+        pool = stored(pool.drop("below").join(near(middle), "band").select("band", "b", "score", "p", "c"), "pool")
         if pool.isEmpty():
             break
         pairs = stored(pool.where("p != c.p").select((-F.col("c.neg")).alias("a"), "b").distinct(), "pairs")
@@ -209,7 +212,7 @@ def near_duplicates(docs: DataFrame, numerator: int = 75) -> DataFrame:
         labels = components(links).select(F.col("id").alias("b"), "component_id")
         pool = pool.join(labels, "b", "left").select("band", "b", "score", F.coalesce("component_id", "b").alias("p"), F.struct("c.score", "c.neg").alias("below"))
     else:
-        pairs = stored(_across(pool, classes, texts, numerator), "pairs")
+        pairs = stored(_across(pool, classes, texts, numerator, near), "pairs")
         links = stored(links.union(verified(pairs, texts, numerator)), "links")
         old += [pairs, links]
     labels = components(links).withColumnRenamed("id", "rep")

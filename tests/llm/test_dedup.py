@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from quillstack.llm import common, decontaminate, near_dups, queries, substrings
+from quillstack.llm import common, components, decontaminate, near_dups, queries, substrings
 
 from .conftest import DOCS, edge_rows, prose
 
@@ -184,6 +184,57 @@ def test_near_dups_across(spark, monkeypatch, rare):
     assert got == want
 
 
+def brute_components(links):
+    least = {x: x for link in links for x in link}
+    while True:
+        now = dict(least)
+        for a, b in links:
+            now[a] = now[b] = min(now[a], now[b])
+        if now == least:
+            return sorted((x, c) for x, c in least.items() if x != c)
+        least = now
+
+
+@pytest.mark.parametrize("portion", [100_000, 40, 3])
+def test_components(spark, monkeypatch, portion):
+    """Few links are finished by one task, without rounds; many take rounds, until few are left or nothing changes."""
+    calls = []
+    monkeypatch.setattr(components, "stored", lambda df, tag: calls.append(tag) or common.stored(df, tag))
+    rng = random.Random(4)
+    links = [(k, k + 1) for k in range(60)] + [(k + 1, k) for k in range(100, 130)] + [(-5, -9), (7, 7), (8, 200), (200, 8)]
+    links += [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    rng.shuffle(links)
+    monkeypatch.setattr(components, "PORTION", portion, raising=False)
+    got = components.components(spark.createDataFrame(links, "a long, b long").repartition(9))
+    assert sorted(tuple(r) for r in got.collect()) == brute_components(links)
+    assert portion < len(links) or len(calls) == 1
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_crowded_band(spark, monkeypatch):
+    """Rounds don't deal the members of few bands by band, so those of a crowded band stay spread; results are the same either way."""
+    plans = []
+
+    def seen(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString() if tag in ("pool", "mixed") else "")
+        return common.stored(df, tag)
+
+    monkeypatch.setattr(near_dups, "stored", seen)
+    rows = near_family()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted((tuple(r) for r in near_dups.near_duplicates(df).collect()), key=str)
+        assert got == brute_groups(rows)
+        # The middles are gathered by band; the members, the other side of the join, aren't.
+        assert any(plans) and all(len(re.findall(r"Exchange hashpartitioning\(band", p)) <= 1 for p in plans)
+        monkeypatch.setattr(near_dups, "FEW", 0)
+        assert sorted((tuple(r) for r in near_dups.near_duplicates(df).collect()), key=str) == got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_near_dups_query(spark):
     got = sorted((tuple(r) for r in queries.op8_near_dups(spark, SF).collect()), key=str)
     assert got == brute_groups(sf_docs(spark))
