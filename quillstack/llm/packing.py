@@ -152,7 +152,7 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, size:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     for b in batches:
-        for doc, ids in zip(b.column("doc_id").to_pylist(), pieces.encode(b.column("text").to_pylist())):
+        for doc, ids in zip(b.column("doc_id").to_pylist(), pieces.encode(b.column("text"))):
             ids += end
             run.append([doc, ids, 0, len(ids) // 4])
             held += len(ids) // 4

@@ -29,7 +29,8 @@ STRIDE = 64
 LIMIT = 18
 MAGIC = b"QSHF\x01"
 
-_STAGED = "shard int, shard_start long, doc_ids array<long>, lengths array<long>, ids binary"
+#: The last row of a shard also has the counts of all ids of the shard.
+_STAGED = "shard int, shard_start long, doc_ids array<long>, lengths array<long>, ids binary, used array<int>, counts array<long>"
 _CODED = "shard int, start long, block binary"
 DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -125,25 +126,28 @@ def decode_block(block: bytes, symbols: np.ndarray, sizes: np.ndarray, width: in
 def _stage(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, added: bool) -> Iterator[pa.RecordBatch]:
     pieces, shard, done = pieces_of(tokenizer, added), TaskContext.get().partitionId(), 0
     end = np.array([end_id], "<u4").tobytes()
-    wide = max(pieces.vocabulary(), end_id + 1) > 1 << 16
+    total = np.zeros(max(pieces.vocabulary(), end_id + 1), np.int64)
+    wide = len(total) > 1 << 16
     docs: list = []
     held: list[bytes] = []
     size = 0
 
-    def flush() -> pa.RecordBatch:
-        nonlocal docs, held, size, done
+    def flush(last: bool = False) -> pa.RecordBatch:
+        nonlocal docs, held, size, done, total
         lengths = [len(x) // 4 for x in held]
         ids = np.frombuffer(b"".join(held), "<u4")
+        total += np.bincount(ids, minlength=len(total))
+        used = np.flatnonzero(total)
         row = pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int32()), pa.array([done], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), binary_array([ids.astype("<u4" if wide else "<u2").tobytes()])],
-            names=["shard", "shard_start", "doc_ids", "lengths", "ids"],
+            [pa.array([shard], pa.int32()), pa.array([done], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), binary_array([ids.astype("<u4" if wide else "<u2").tobytes()]), pa.array([used if last else None], pa.list_(pa.int32())), pa.array([total[used] if last else None], pa.list_(pa.int64()))],
+            names=["shard", "shard_start", "doc_ids", "lengths", "ids", "used", "counts"],
         )
         done += size
         docs, held, size = [], [], 0
         return row
 
     for b in batches:
-        for doc, ids in zip(b.column("doc_id").to_pylist(), pieces.encode(b.column("text").to_pylist())):
+        for doc, ids in zip(b.column("doc_id").to_pylist(), pieces.encode(b.column("text"))):
             n = len(ids) // 4 + 1
             if size and size + n > BLOCK_IDS:
                 yield flush()
@@ -151,16 +155,7 @@ def _stage(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, added
             held.append(ids + end)
             size += n
     if docs:
-        yield flush()
-
-
-def _counted(batches: Iterator[pa.RecordBatch], vocabulary: int) -> Iterator[pa.RecordBatch]:
-    total, dtype = np.zeros(vocabulary, np.int64), "<u4" if vocabulary > 1 << 16 else "<u2"
-    for b in batches:
-        for ids in b.column("ids"):
-            total += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=vocabulary)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["id", "n"])
+        yield flush(last=True)
 
 
 def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, added: bool = False) -> None:
@@ -173,8 +168,8 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, added:
     staged_path = f"{path}/staged"
     ordered.mapInArrow(lambda it: _stage(it, tokenizer, end_id, added), _STAGED).write.option("compression", "zstd").parquet(staged_path)
     staged = spark.read.schema(_STAGED).parquet(staged_path)
-    # One row per id and task at most, then one per id: bounded by the vocabulary.
-    counted = staged.select("ids").mapInArrow(lambda it: _counted(it, vocabulary), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    # One row per id and shard at most, then one per id: bounded by the vocabulary.
+    counted = staged.where("used IS NOT NULL").select(F.explode(F.map_from_arrays("used", "counts")).alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(vocabulary, np.int64)
     counts[counted["id"].to_numpy()] = counted["n"].to_numpy()
     lengths = code_lengths(counts)

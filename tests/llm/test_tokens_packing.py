@@ -3,13 +3,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillstack.llm import packing, queries, token_files
+from quillstack.llm import common, packing, queries, token_files
 from quillstack.llm.common import Pieces
 
 from .conftest import DOCS, edge_rows, prose
@@ -143,6 +144,39 @@ def test_added_tokens_are_the_tokenizers(path):
         assert np.frombuffer(got, "<u4").tolist() == encode(t), repr(t)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_repeated_pieces_are_looked_up_once(path):
+    """op1's time went to a lookup for each word of each text, also for those that the batch repeats."""
+    looked = []
+
+    class Counted(Pieces):
+        def __getitem__(self, piece):
+            looked.append(piece)
+            return super().__getitem__(piece)
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["one", "two", "Öl", "3rd"], k=50)) for _ in range(100)]
+    encode = untouched(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in Counted(path, added=True).encode(texts)] == [encode(t) for t in texts]
+    assert len(looked) == len(set(looked)) <= 8
+
+
+@pytest.mark.parametrize("added", [False, True])
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_pieces_of_columns(path, added, monkeypatch):
+    """Texts side by side in one buffer, nulls, slices, marks, white space at the ends of texts, groups of few bytes."""
+    monkeypatch.setattr(common, "_GROUP", 40)
+    encode, pieces, rng = (untouched if added else plain)(path), Pieces(path, limit=50, added=added), random.Random(9)
+    alphabet = ["a", "é", "ß", "×", "÷", "\u0301", "\u0338", "\u0345", "日本", "\u2019", "\u00a9", " ", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x00", "7", "'s", "'", *"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\x7f"]
+    rare = ["\x85", "\xa0", "\u1680", "\u2000", "\u200a", "\u200b", "\u2028", "\u202f", "\u205f", "\u3000", "<|endoftext|>"]
+    texts = ["".join(rng.choice(rare if rng.random() < 0.01 else alphabet) for _ in range(rng.choice([0, 1, 2, 5, 12, 60]))) for _ in range(3000)]
+    texts = [None if rng.random() < 0.02 else t for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        for column in (pa.array(texts, kind), pa.array(texts, kind).slice(11, 500), pa.array(texts[:0], kind), pa.array(["", None, ""], kind)):
+            for t, got in zip(column.to_pylist(), pieces.encode(column), strict=True):
+                assert np.frombuffer(got, "<u4").tolist() == encode(t), repr(t)
+
+
 def test_queries_keep_added_tokens(spark, tmp_path):
     """The registered queries and the pipeline's last stage against an untouched Tokenizer."""
     rows = [(k, t, "en", "s", 1) for k, t in enumerate(SPECIAL)]
