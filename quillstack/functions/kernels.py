@@ -1,14 +1,26 @@
-"""Functions that Spark has no built-in for, on Arrow batches: NFC and Damerau-Levenshtein distance."""
+"""Functions on Arrow batches: what Spark has no built-in for, and what would repeat itself as one expression."""
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def mapped(function: Callable[[str | None], object], c: Column, fields: list[str] | None = None) -> Column:
+    """A function of one text as a Column: a text, or a struct of texts where fields are named (tuples in their order, or None)."""
+    kind = pa.struct([(f, pa.string()) for f in fields]) if fields else pa.string()
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([function(t) for t in texts.to_pylist()], kind)
+
+    return F.arrow_udf(run, f"struct<{', '.join(f'{f}: string' for f in fields)}>" if fields else "string")(c)
+
+
 def nfc(c: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
