@@ -1,70 +1,52 @@
-"""Person names: natural order and sort order, with particles and suffixes, as Column expressions."""
+"""Person names: natural order and sort order, with particles and suffixes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+from .kernels import mapped
 
-def sanitized(c: Column) -> Column:
-    """Quotes, carets, braces and brackets go, a tilde is a no-break space."""
-    return F.translate(c, '~"^{}[]', "\u00a0")
+#: Quotes, carets, braces and brackets go, a tilde is a no-break space. Fixed value.
+_SANITIZED = str.maketrans("~", "\u00a0", '"^{}[]')
 
 
-def _words(c: Column) -> Column:
-    return F.filter(F.split(c, " +"), lambda w: w != "")
+def _words(text: str) -> list[str]:
+    return [w for w in text.split(" ") if w]
 
 
-def _joined(parts: Column) -> Column:
-    return F.array_join(parts, " ")
+def _lower(words: list[str]) -> list[int]:
+    """Places of the words but the final one that begin in lower case, counted from 1."""
+    return [k for k, w in enumerate(words[:-1], 1) if "a" <= w[0] <= "z"]
 
 
-def _last_lower(words: Column) -> Column:
-    """Place of the last word but the final one that begins in lower case; 0 without one."""
-    n = F.size(words)
-    low = F.reverse(F.transform(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), lambda w: w.rlike("^[a-z]")))
-    at = F.array_position(low, True).cast("int")
-    return F.when(at > 0, n - at).otherwise(0)
-
-
-def _first_lower(words: Column) -> Column:
-    n = F.size(words)
-    return F.array_position(F.transform(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), lambda w: w.rlike("^[a-z]")), True).cast("int")
-
-
-def person(c: Column) -> Column:
+def parse(text: str | None) -> tuple[str | None, ...] | None:
     """(first, particle, last, suffix, display_name, sort_name).
 
     Without a comma: words up to the first in lower case, from there to the last in lower case, the rest. With one:
     particle and last name, first name. With two: a suffix between them. With more the name stands as it is, as both
     display and sort name, and has no parts. Null stays null.
     """
-    name = sanitized(c)
-    commas = F.split(name, ",")
-    natural = _words(name)
-    n, upto, since = F.size(natural), _last_lower(natural), _first_lower(natural)
-    head = _words(commas[0])
-    cut = _last_lower(head)
-    plain = F.size(commas) == 1
-    first_end = F.when(since > 0, since - 1).otherwise(F.greatest(n - 1, F.lit(0)))
-    first = F.when(plain, F.slice(natural, F.lit(1), first_end)).otherwise(_words(F.element_at(commas, -1)))
-    particle = F.when(plain, F.slice(natural, first_end + 1, F.greatest(upto - first_end, F.lit(0)))).otherwise(F.slice(head, F.lit(1), cut))
-    last = F.when(plain, F.slice(natural, F.greatest(upto, first_end) + 1, n)).otherwise(F.slice(head, cut + 1, F.size(head)))
-    suffix = F.when(F.size(commas) == 3, _words(F.get(commas, 1))).otherwise(F.array().cast("array<string>"))
-    tail = F.when(F.size(suffix) > 0, F.concat(F.lit(", "), _joined(suffix))).otherwise("")
-    whole = F.concat(F.array_join(F.concat(first, particle, last), " "), tail)
-    given = F.when(F.size(first) > 0, F.concat(F.lit(", "), _joined(first))).otherwise("")
-    sort = F.concat(_joined(F.concat(particle, last)), tail, given)
-    odd = F.size(commas) > 3
-    part = lambda x: F.when(~odd, _joined(x))
-    return F.when(
-        c.isNotNull(),
-        F.struct(
-            part(first).alias("first"),
-            part(particle).alias("particle"),
-            part(last).alias("last"),
-            part(suffix).alias("suffix"),
-            F.when(odd, name).otherwise(whole).alias("display_name"),
-            F.when(odd, name).otherwise(sort).alias("sort_name"),
-        ),
-    )
+    if text is None:
+        return None
+    name = text.translate(_SANITIZED)
+    commas = name.split(",")
+    if len(commas) > 3:
+        return None, None, None, None, name, name
+    words = _words(commas[0])
+    low = _lower(words)
+    cut = low[-1] if low else 0
+    if len(commas) == 1:
+        end = low[0] - 1 if low else max(len(words) - 1, 0)
+        first, particle, last = words[:end], words[end:cut], words[max(cut, end) :]
+    else:
+        first, particle, last = _words(commas[-1]), words[:cut], words[cut:]
+    suffix = _words(commas[1]) if len(commas) == 3 else []
+    tail = ", " + " ".join(suffix) if suffix else ""
+    given = ", " + " ".join(first) if first else ""
+    joined = [" ".join(x) for x in (first, particle, last, suffix, first + particle + last, particle + last)]
+    return *joined[:4], joined[4] + tail, joined[5] + tail + given
+
+
+def person(c: Column) -> Column:
+    """The same as a struct. As an expression each part would repeat those that it is made of, so the whole is one function."""
+    return mapped(parse, c, ["first", "particle", "last", "suffix", "display_name", "sort_name"])

@@ -174,6 +174,14 @@ def test_people(spark):
     ]
 
 
+def test_people_are_one_function(spark):
+    """As an expression person held its parts again and again: a column of 22,000 characters, a plan of 85,000."""
+    assert len(str(N.person(F.col("s")))) < 2000
+    assert [tuple(p) if p else None for p in values(spark, N.person, "von Hicks, III, Michael", "a,b,c,d", ",", "~x y", None)] == [
+        ("Michael", "von", "Hicks", "III", "Michael von Hicks, III", "von Hicks, III, Michael"), (None, None, None, None, "a,b,c,d", "a,b,c,d"), ("", "", "", "", "", ""), ("\u00a0x", "", "y", "", "\u00a0x y", "y, \u00a0x"), None,
+    ]
+
+
 def test_citations(spark):
     assert values(spark, C.cleaned_post, ", p. 7", "pp. 12 - 15,xx", "p 3 pp. 8--9, 11", ", see p. 4", "p. 5 and 6", "pp.", "", "p. c-d") == ["7", "12–15, xx", "3 8–9, 11", "see p. 4", "p. 5 and 6", "pp.", "", "c–d"]
     found = values(spark, C.parsed, "[Ab-1:title, p. 2]", "Ab_2:years x", "  [Ab:year ", "Ab]", "[]", ":author", " Ab: note ")
