@@ -38,7 +38,7 @@ def test_pages_against_sql(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
-    for name in ("html_heading_text", "html_title_text", "html_title_vs_h1"):
+    for name in ("html_heading_text", "html_title_text", "html_title_vs_h1", "page_contents"):
         assert compare(spark, connection, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path)) == "", name
 
 
