@@ -76,9 +76,9 @@ def parse_boolean(c: Column) -> Column:
 _CUT = r"(?<!\\)(?:\\\\)*;"
 
 
-def parse_multiline(c: Column) -> Column:
-    """Parts between semicolons that no backslash escapes, without space around them, doubled backslashes as one."""
-    return F.transform(F.split(c, _CUT, -1), lambda p: F.replace(F.regexp_replace(p, r"^\s+|\s+$", ""), F.lit("\\\\"), F.lit("\\")))
+def parse_multiline(c: Column, space: str = " \t\n\x0b\f\r") -> Column:
+    """Parts between semicolons that no backslash escapes, without space around them, doubled backslashes as one. Line breaks at an end of a part are kept where `space` has none."""
+    return F.transform(F.split(c, _CUT, -1), lambda p: F.replace(F.trim(p, F.lit(space)), F.lit("\\\\"), F.lit("\\")))
 
 
 def print_multiline(parts: Column) -> Column:

@@ -42,6 +42,16 @@ def test_pages_against_sql(spark, tmp_path):
         assert compare(spark, connection, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path)) == "", name
 
 
+def test_multiline_against_sql(spark, tmp_path):
+    """One SQL trims spaces alone, the other all white space."""
+    texts = ["a,\nb , c\t,d \n", "\n x ;  y\r\n", " ; ,", "", "\u00a0a \u2028"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("multiline_literal", "multiline_roundtrip"):
+        assert compare(spark, connection, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path)) == "", name
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_nested_sets(seed):
     rng = random.Random(seed)
